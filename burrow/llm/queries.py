@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import held_out, table
+from . import mixing, quality
+from .common import held_out, save, table
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,44 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    docs = save(docs, "sizes")  # the texts are read once
+    mixed = mixing.assign(docs, F.array("source"), mixing.plan(docs, F.array("source")))
+    return mixed.select("doc_id", "size", F.col("_mix.source_size").alias("source_size"), F.round("_mix.target", 4).alias("target"), (F.col("size") * F.col("_mix.copies")).alias("taken"))
+
+
+#: Targets by their closed form: sources in the order of 3 * size / weight, those before the first that stays below its cap are full.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, 3.0::DOUBLE * n / w AS full_at,
+    ((SELECT sum(n) FROM s) - coalesce(sum(3 * n) OVER (ORDER BY 3.0::DOUBLE * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY 3.0::DOUBLE * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM s
+), r AS (
+  SELECT arg_min(rate, full_at) FILTER (full_at >= rate) AS rate FROM o
+), t AS (
+  SELECT source, n, least(3.0::DOUBLE * n, coalesce(r.rate * w, 3.0::DOUBLE * n)) AS target FROM s, r
+), q AS (
+  SELECT *, CASE WHEN n > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // n ELSE 0 END AS copies, CASE WHEN n > 0 THEN CAST(floor(target + 0.5) AS BIGINT) % n ELSE 0 END AS more FROM t
+), c AS (
+  SELECT d.*, q.n AS source_size, q.target, q.copies, q.more, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS upto
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies + CASE WHEN 2 * upto + size <= 2 * more THEN size ELSE 0 END AS BIGINT) AS taken FROM c
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
