@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import language, mixing, quality
 from .common import held_out, save, table
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, ~held_out(F.col("doc_id")))
+    return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learnable)
@@ -51,6 +57,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_language_id": op6_language_id,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
     }
