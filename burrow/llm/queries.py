@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality
+from . import language, mixing, packing, quality
 from .common import held_out, save, table
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs, ~held_out(F.col("doc_id")))
@@ -57,6 +61,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,

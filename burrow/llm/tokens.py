@@ -6,8 +6,11 @@ after the other. Chunks repeat far more often than texts do; each worker keeps t
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 #: Chunks that one worker remembers, and the longest chunk in bytes that it does.
-KEPT, LONGEST = 400_000, 200
+KEPT, LONGEST = 700_000, 100
 
 
 class ChunkIds(dict):
@@ -20,10 +23,11 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        import numpy as np
-
         ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        raw = np.array(ids, "<u4").tobytes()
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        raw = raw.tobytes()
         if len(chunk) <= LONGEST:
             self[chunk] = raw
         return raw
