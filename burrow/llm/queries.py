@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality
+from . import fingerprint, language, mixing, packing, quality
 from .common import held_out, save, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
         "op8_quality_classifier": op8_quality_classifier,
