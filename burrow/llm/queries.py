@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, packing, quality
+from . import fingerprint, language, media, mixing, packing, quality, token_scan
 from .common import held_out, save, table
 
 
@@ -15,6 +15,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -66,6 +74,8 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op3_token_counts": op3_token_counts,
+        "op4_media_columns": op4_media_columns,
         "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
         "op8_quality_classifier": op8_quality_classifier,

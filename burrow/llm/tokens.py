@@ -16,11 +16,12 @@ KEPT, LONGEST = 700_000, 100
 class ChunkIds(dict):
     """bytes of a chunk -> its ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -38,11 +39,11 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.split()))  # bytes.split() knows ASCII white space only
 
 
-_made: dict[str, ChunkIds] = {}
+_made: dict[tuple[str, bool], ChunkIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    """One cache for each worker process and tokenizer file."""
-    if path not in _made:
-        _made[path] = ChunkIds(path)
-    return _made[path]
+def chunk_ids(path: str, plain: bool = False) -> ChunkIds:
+    """One cache for each worker process and tokenizer file. ``plain``: special tokens' strings in a text are ordinary text."""
+    if (path, plain) not in _made:
+        _made[path, plain] = ChunkIds(path, plain)
+    return _made[path, plain]
