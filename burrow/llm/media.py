@@ -33,6 +33,8 @@ FRAME_BYTES = 64 * BLOCKS
 BINS = 16
 #: A cut: a difference of histograms over MEAN + SPREAD deviations of the last WINDOW differences, and over LEAST.
 WINDOW, SPREAD, LEAST = 8, 3.0, 0.1
+#: Differences that must come before a cut.
+HISTORY = 3
 
 
 class MediaError(ValueError):
@@ -340,7 +342,7 @@ def shots(hist: np.ndarray) -> list[int]:
         k = np.maximum(n - low, 1)
         mean = (one[n] - one[low]) / k
         dev = np.sqrt(np.maximum((two[n] - two[low]) / k - mean**2, 0))
-        out += (np.flatnonzero((n > low) & (diff > np.maximum(mean + SPREAD * dev, LEAST))) + 1).tolist()
+        out += (np.flatnonzero((k >= HISTORY) & (diff > np.maximum(mean + SPREAD * dev, LEAST))) + 1).tolist()
     return out
 
 

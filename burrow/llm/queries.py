@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, media, mixing, packing, quality, token_scan
+from . import fingerprint, language, media, mixing, packing, quality, secret_scan, token_scan
 from .common import held_out, save, table
 
 
@@ -33,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learnable)
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": op4_media_columns,
         "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
+        "op7_secret_scan": op7_secret_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
     }
