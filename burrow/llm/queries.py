@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, media, mixing, packing, quality, secret_scan, token_scan
+from . import fingerprint, language, line_dedup, media, mixing, packing, quality, secret_scan, token_scan
 from .common import held_out, save, table
 
 
@@ -15,6 +15,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * copies
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_media_columns": op4_media_columns,
         "op5_packing": op5_packing,
