@@ -6,11 +6,14 @@ after the other. Chunks repeat far more often than texts do; each worker keeps t
 
 from __future__ import annotations
 
+import re
 import sys
 from array import array
 
-#: Chunks that one worker remembers, and the longest chunk in bytes that it does.
-KEPT, LONGEST = 700_000, 100
+#: Chunks and words within them that one worker remembers (about 150 bytes each), and the longest chunk in bytes that it does.
+KEPT, KEPT_WORDS, LONGEST = 400_000, 900_000, 100
+#: A word of Latin-1 letters with marks after it: the tokenizer lower-cases the one and splits off the other.
+WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
 
 class ChunkIds(dict):
@@ -22,17 +25,34 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        raw = array("I", ids)
-        if sys.byteorder == "big":
-            raw.byteswap()
-        raw = raw.tobytes()
+        text = chunk.decode("utf-8", "replace")
+        if (m := WORD.fullmatch(text)) and len(chunk) <= LONGEST:
+            raw = self.word(m[1].lower())
+            if m[2]:
+                raw += self.word(m[2])
+        else:
+            raw = self.encode(text)
         if len(chunk) <= LONGEST:
             self[chunk] = raw
         return raw
 
+    def encode(self, text: str) -> bytes:
+        raw = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
+
+    def word(self, text: str) -> bytes:
+        raw = self.words.get(text)
+        if raw is None:
+            if len(self.words) > KEPT_WORDS:
+                self.words.clear()
+            raw = self.words[text] = self.encode(text)
+        return raw
+
     def of(self, text: bytes) -> bytes:
         if len(self) > KEPT:
             self.clear()
