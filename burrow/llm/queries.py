@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, line_dedup, media, mixing, packing, quality, secret_scan, token_scan
+from . import fingerprint, language, line_dedup, media, mixing, near_join, packing, quality, secret_scan, token_scan
 from .common import held_out, save, table
 
 
@@ -54,6 +54,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("_mix.source_size").alias("source_size"), F.round("_mix.target", 4).alias("target"), (F.col("size") * F.col("_mix.copies")).alias("taken"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents"))
+
+
 #: Targets by their closed form: sources in the order of 3 * size / weight, those before the first that stays below its cap are full.
 OP9_SQL = r"""
 WITH d AS (
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
