@@ -34,7 +34,8 @@ PERIOD, KINDS = 512, 4096
 STOP = KINDS - 1
 #: Below so many walks, a loop over steps beats a vector over walks.
 FEW = 24
-WORK_BYTES = 8 << 20
+#: Bytes of text walked over at a time, and rows turned into Python objects at a time.
+WORK_BYTES, ROWS = 3 << 20, 256
 
 
 @lru_cache(1)
@@ -183,17 +184,19 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         ids, own, size, guest = [], [], 0, False
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            for i, t, g in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("_guest").to_pylist(), strict=True):
-                if guest:
-                    continue
-                guest = g
-                own.append(t or "")
-                size += len(own[-1]) + 64
-                if not g:
-                    ids.append(i)
-                if size > WORK_BYTES and len(own) > 1 and not g:
-                    yield digest(ids[:-1], own)
-                    ids, own, size = ids[-1:], own[-1:], len(own[-1])
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                for i, t, g in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("_guest").to_pylist(), strict=True):
+                    if guest:
+                        continue
+                    guest = g
+                    own.append(t or "")
+                    size += len(own[-1]) + 64
+                    if not g:
+                        ids.append(i)
+                    if size > WORK_BYTES and len(own) > 1 and not g:
+                        yield digest(ids[:-1], own)
+                        ids, own, size = ids[-1:], own[-1:], len(own[-1])
         if ids and len(own) == len(ids) + 1:
             yield digest(ids, own)
 
