@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a batch operator works on at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text, and rows, that one step of a batch operator works on at a time: what a worker holds doesn't follow the size of Arrow's batches.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(k, SLICE_ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` for each Arrow batch."""
+    """``fn`` for each slice of the Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield from fn(b)
 
     return df.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ name. Repeated rows are predicted one by one; extra columns are neither read nor
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -29,8 +30,8 @@ LONGEST_GRAM, ALPHA = 5, 0.5
 #: Words at most that count as independent evidence.
 EVIDENCE = 12
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Chunks that one worker remembers, and the longest one in bytes.
-KEPT, LONGEST = 300_000, 120
+#: Chunks and words within them that one worker remembers, and the longest word it learns.
+KEPT, KEPT_WORDS, LONGEST = 250_000, 250_000, 120
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -59,6 +60,7 @@ class Model:
     """Log frequencies by kind: entry -> row of one number per language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
+        self.key = uuid.uuid4().hex
         self.langs = sorted({r[0] for r in rows})
         col = {x: i for i, x in enumerate(self.langs)}
         self.kinds: list[dict[str, np.ndarray]] = []
@@ -88,35 +90,54 @@ class ChunkScores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.rows = model, np.zeros((1024, len(model.langs) + 2), np.float32)
+        self.words: dict[str, int] = {}
         self.n = 0
 
-    def __missing__(self, chunk: bytes) -> int:
-        row = np.zeros(self.rows.shape[1], np.float32)
-        for w in LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-            row[-1] += len(w)
-            v = self.model.word(w)
-            if v is not None:
-                row[:-2] += v
-                row[-2] += 1
+    def add(self, row: np.ndarray) -> int:
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = row
-        self[chunk], self.n = self.n, self.n + 1
+        self.n += 1
         return self.n - 1
 
-    def total(self, text: bytes) -> np.ndarray:
-        if self.n > KEPT:
-            self.clear()
+    def word(self, w: str) -> int:
+        at = self.words.get(w)
+        if at is None:
+            row, v = np.zeros(self.rows.shape[1], np.float32), self.model.word(w)
+            row[-1] = len(w)
+            if v is not None:
+                row[:-2], row[-2] = v, 1
+            at = self.add(row)
+            if len(w) <= LONGEST:
+                self.words[w] = at
+        return at
+
+    def __missing__(self, chunk: bytes) -> int:
+        found = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+        if len(found) == 1:  # nearly always
+            at = self.word(found[0])
+        else:
+            at = self.add(self.rows[[self.word(w) for w in found]].sum(0))
+        if len(chunk) <= LONGEST:
+            self[chunk] = at
+        return at
+
+    def trim(self) -> None:
+        if self.n > KEPT_WORDS:
+            self.words.clear()
             self.n = 0
+        if len(self) > KEPT or not self.n:
+            self.clear()
+
+    def total(self, text: bytes) -> np.ndarray:
+        self.trim()
         parts = text.split()
         out = np.zeros(self.rows.shape[1])
         for i in range(0, len(parts), KEPT):  # a text of any length adds KEPT chunks at most at a time
             part = parts[i : i + KEPT]
             ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             out += self.rows[ids].sum(0, dtype=np.float64)
-            if self.n > KEPT:
-                self.clear()
-                self.n = 0
+            self.trim()
         return out
 
 
@@ -137,19 +158,28 @@ def learn(docs: DataFrame, usable: Column | None = None) -> Model | None:
     return Model([(r["lang"], r["n"], r["entry"], r["k"]) for r in top], {(r["lang"], r["n"]): r["total"] for r in top}) if top else None
 
 
+_made: dict[str, ChunkScores] = {}
+
+
+def chunk_scores(model: Model) -> ChunkScores:
+    """One cache for each worker process: that of the model it used last."""
+    if model.key not in _made:
+        _made.clear()
+        _made[model.key] = ChunkScores(model)
+    return _made[model.key]
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kept: list[ChunkScores] = []
 
     def run(b: pa.RecordBatch):
-        if not kept:
-            kept.append(ChunkScores(model))
+        cache = chunk_scores(model)
         names, scores = [], []
         for t in texts(b):
-            s = kept[0].total(t)
+            s = cache.total(t)
             if not s[-1]:
                 names.append("und")
                 scores.append(0.0)
