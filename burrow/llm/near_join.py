@@ -6,8 +6,9 @@ that nothing is rounded). Texts with equal sets are one node.
 1. Shingles are counted in a table of hashed cells of fixed size; the counts only order the shingles, rare ones first.
 2. A set of n shingles posts its first n - T + k ones (T = least overlap of any partner, k = 1 + n / EXTRA): sets that link
    share at least min(k) of them. Each posting list goes to one task.
-3. Short lists are merged: pairs of like size are counted. Long lists are skipped and tie their sets to
-   their first one alone; a pair counts as a candidate if its count and the number of its skipped lists reach min(k).
+3. Short lists are merged: pairs of like size are counted. Long lists are skipped; a pair is a candidate if its count and
+   the number of its skipped lists reach min(k). Sets that could reach k by long lists alone are tied, in each such
+   list, to its first one.
 4. The candidates' components hold every linked pair. Each is brought together once, whole sets and all, and searched by
    DivideSkip: a query's short lists are merged, its long ones are probed by binary search for those sets that can still
    reach the overlap. Sets that are already connected needn't be compared.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import map_batches, mix64, partitions, save, texts
+from .common import mix64, partitions, save, small, texts
 from .graph import components
 
 #: 100 * overlap >= LEAST * union.
@@ -80,16 +81,13 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, names, id_type = np.zeros(CELLS, np.int64), ["doc_id", "n", "node", "part", "data"], pa.int64()
-        for b in batches:
+        for b in small(batches):
             n, node = [], []
             held: list[np.ndarray] = []
             for s in shingles.sets(texts(b), width):
                 n.append(len(s))
                 node.append(shingles.key(s)[0])
                 held.append((s >> np.uint64(44)).astype(np.int32))
-                if len(held) == 512:
-                    count += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held = []
             if held:
                 count += np.bincount(np.concatenate(held), minlength=CELLS)
             id_type = b.schema.field("doc_id").type
@@ -144,7 +142,7 @@ def postings(docs: DataFrame, rank: np.ndarray, width: int, least: int, into: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, size, ids, rows, seen, heads = [], [], [], 0, set(), set()
-        for b in batches:
+        for b in small(batches):
             for s in shingles.sets(texts(b), width):
                 if not len(s):
                     continue
@@ -166,7 +164,7 @@ def postings(docs: DataFrame, rank: np.ndarray, width: int, least: int, into: in
 
 
 def candidates(posted: DataFrame, least: int, into: int) -> DataFrame:
-    """Rows (a, b, shared, need): pairs counted over the short lists of a part, ties of the long ones (need 0), and with b null the number of long lists of a."""
+    """Rows (a, b, shared, need): pairs counted over the short lists of a part; and with shared null the places of b in a long list a."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, size, ids, of, base = [], [], [], [], 0
@@ -199,10 +197,7 @@ def candidates(posted: DataFrame, least: int, into: int) -> DataFrame:
         if not len(ids):
             return
         long_ = np.repeat((length > SHORT) | (ids[first] >= FLAG), length)
-        head = np.repeat(who[first], length)
-        tie = long_ & (who != head)
-        rows = [np.unique(np.stack([head[tie], who[tie]]), axis=1)]
-        skipped, times = np.unique(who[long_], return_counts=True)
+        lists, places = ids[long_].astype(np.int64), who[long_]
         ids, who = ids[~long_], who[~long_]
         found = []
         for d in range(1, SHORT):
@@ -215,18 +210,13 @@ def candidates(posted: DataFrame, least: int, into: int) -> DataFrame:
         pair, shared = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
         a, b = pair // len(uniq), pair % len(uniq)
         need = 1 + np.minimum(n[a], n[b]) // EXTRA
-        ties = rows[0]
-        cols = [
-            np.concatenate([uniq[a], uniq[ties[0]], uniq[skipped]]),
-            np.concatenate([uniq[b], uniq[ties[1]], np.zeros(len(skipped), np.int64)]),
-            np.concatenate([shared, np.zeros(ties.shape[1], np.int64), times]),
-            np.concatenate([need, np.zeros(ties.shape[1], np.int64), np.zeros(len(skipped), np.int64)]),
-        ]
-        nulls = np.zeros(len(cols[0]), bool)
-        nulls[len(pair) + ties.shape[1] :] = True
+        # the least that a partner of any size lets a set share
+        alone = 1 + least * n[places] // 100 // EXTRA
+        cols = [np.concatenate(x) for x in ((uniq[a], lists), (uniq[b], uniq[places]), (shared, np.zeros(len(lists), np.int64)), (need, alone))]
+        nulls = np.arange(len(cols[0])) >= len(pair)
         for k in range(0, len(cols[0]), 100_000):
             p = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0][p]), pa.array(cols[1][p], mask=nulls[p]), pa.array(cols[2][p]), pa.array(cols[3][p])], names=["a", "b", "shared", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][p]), pa.array(cols[1][p]), pa.array(cols[2][p], mask=nulls[p]), pa.array(cols[3][p])], names=["a", "b", "shared", "need"])
 
     return posted.repartitionById(into, F.col("part")).mapInArrow(run, "a long, b long, shared long, need long")
 
@@ -313,13 +303,15 @@ def grouped(df: DataFrame, keys: list[str], into: int, run, schema: str) -> Data
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            for *k, node, role, data in zip(*(b.column(c).to_pylist() for c in (*keys, "node", "role", "data")), strict=True):
-                if k != now:
-                    if rows:
-                        yield run(now, *zip(*rows, strict=True))
-                    now, rows = k, []
-                if not rows or (rows[-1][0], rows[-1][1]) != (node, role):  # a copy
-                    rows.append((node, role, np.frombuffer(data, "<u8")))
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                for *k, node, role, data in zip(*(some.column(c).to_pylist() for c in (*keys, "node", "role", "data")), strict=True):
+                    if k != now:
+                        if rows:
+                            yield run(now, *zip(*rows, strict=True))
+                        now, rows = k, []
+                    if not rows or (rows[-1][0], rows[-1][1]) != (node, role):  # a copy
+                        rows.append((node, role, np.frombuffer(data, "<u8")))
         if rows:
             yield run(now, *zip(*rows, strict=True))
 
@@ -350,7 +342,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(np.frombuffer(packed, np.uint8)), set()
-        for b in batches:
+        for b in small(batches):
             node, data = [], []
             for s in shingles.sets(texts(b), width):
                 if len(s) and (k := shingles.key(s)[0]) not in seen and bits[mix64(np.array([k], np.int64).view(np.uint64))[0] % np.uint64(NODES)]:
@@ -367,12 +359,18 @@ def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, width: int,
     into = partitions(docs.sparkSession)
     found = candidates(postings(docs, ranks(count), width, least, into), least, into)
     found = save(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")), "candidates")
-    skipped = found.where("b is null").select("a", "shared")
-    pairs = found.where("b is not null")
+    places = found.where("shared is null").select("a", "b", "need")
+    skipped = save(places.groupBy("b").agg(F.count("*").alias("lists"), F.max("need").alias("need")), "skipped")
+    pairs = found.where("shared is not null")
     for c in ("a", "b"):
-        pairs = pairs.join(skipped.select(F.col("a").alias("_k"), F.col("shared").alias(f"_{c}")), F.col(c) == F.col("_k"), "left").drop("_k")
+        pairs = pairs.join(skipped.select(F.col("b").alias("_k"), F.col("lists").alias(f"_{c}")), F.col(c) == F.col("_k"), "left").drop("_k")
     ahead = F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))
-    group = components(pairs.where(F.col("shared") + ahead >= F.col("need")).select("a", "b"), "ties")
+    able = skipped.where("lists >= need").select(F.col("b").alias("_b"))
+    # the dealt lists of one frequent shingle are tied whoever is in them
+    ties = places.join(able, F.col("b") == F.col("_b"), "left").where(F.col("_b").isNotNull() | (F.col("a") >= int(FLAG))).select("a", "b")
+    heads = ties.groupBy("a").agg(F.min("b").alias("head")).select(F.col("a").alias("_a"), "head")
+    ties = ties.join(heads, F.col("a") == F.col("_a")).where("b != head").select(F.col("head").alias("a"), "b")
+    group = components(pairs.where(F.col("shared") + ahead >= F.col("need")).select("a", "b").unionAll(ties), "ties")
     group = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct())
     group = save(group.join(sizes, "node"), "groups")
     total = group.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("nodes"))

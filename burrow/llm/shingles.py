@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 #: Powers are kept for buffers up to this many bytes; longer texts get their own.
-_KEPT = 5 << 20
+_KEPT = 3 << 19
 _tables: list[np.ndarray] = []
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, save, texts
+from .common import map_batches, save, small, texts
 from .packing import default_tokenizer
 from .tokens import chunk_ids
 
@@ -93,7 +93,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END_ID, tokens: int =
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(id_type))], names=names)
 
         id_type = pa.int64()
-        for b in batches:
+        for b in small(batches):
             id_type = b.schema.field("doc_id").type
             for t in texts(b):
                 left += np.frombuffer(cache.of(t), "<u4").astype("<u2").tobytes() + close

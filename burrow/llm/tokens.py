@@ -11,7 +11,7 @@ import sys
 from array import array
 
 #: Chunks and words within them that one worker remembers (about 150 bytes each), and the longest chunk in bytes that it does.
-KEPT, KEPT_WORDS, LONGEST = 400_000, 900_000, 100
+KEPT, KEPT_WORDS, LONGEST = 250_000, 500_000, 100
 #: A word of Latin-1 letters with marks after it: the tokenizer lower-cases the one and splits off the other.
 WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
