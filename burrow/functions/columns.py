@@ -185,7 +185,7 @@ def format_size(c: str | Column) -> Column:
     n = col(c).cast("double")
 
     def unit(size: int, text: str) -> Column:
-        return F.format_string(f"%.1f {text}", n / F.lit(float(size)))
+        return F.format_string(f"%.1f {text}", F.bround(n / F.lit(float(size)), 1))  # ties go to the even digit
 
     return F.when(n >= 1 << 30, unit(1 << 30, "GiB")).when(n >= 1 << 20, unit(1 << 20, "MiB")).when(n >= 1 << 10, unit(1 << 10, "KiB")).otherwise(F.concat(col(c).cast("long").cast("string"), F.lit(" B")))
 
