@@ -31,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lost executors take no lineage with them. The files go when the session ends."""
     spark = df.sparkSession
+    modest(spark)
     path = f"{shared_dir(spark)}/burrow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
@@ -47,7 +48,18 @@ def drop_saved(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a batch is held several times over on its way.
+BATCH_ROWS = 1000
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
+    modest(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -60,6 +72,7 @@ def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` for each slice of the Arrow batches."""
+    modest(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):

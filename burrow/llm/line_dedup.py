@@ -130,19 +130,24 @@ def cleaned(text: bytes, parts: list[dict]) -> tuple[bytes, int, int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows with all their columns, ``text`` without repeated chunks, and the columns n_lines and n_removed (long)."""
     found = repeats(docs)
-    keyed = docs.withColumn("_hash", text_hash())
-    joined = keyed.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._hash") == F.col("f.text_hash")), "left").select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), F.col("d.text").alias("text"), F.col("f.parts").alias("parts"))
+    # columns go by number: whatever they are called, nothing clashes, and the text is sent once
+    at = docs.columns.index("text")
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_id"), text_hash().alias("_hash"))
+    same_row = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    joined = named.join(found, same_row, "left").select(*[f"c{i}" for i in range(len(docs.columns))], "parts")
 
     def run(b: pa.RecordBatch):
         new, n, k = [], [], []
-        raw = b.column("text").cast(pa.binary()).to_pylist()
+        raw = b.column(at).cast(pa.binary()).to_pylist()
         for t, parts in zip(raw, b.column("parts").to_pylist(), strict=True):
             x, a, z = cleaned(t or b"", parts or [])
             new.append(None if t is None else x)
             n.append(a if t else 0)
             k.append(z)
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
+        cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(k, pa.int64())]
+        cols[at] = pa.array(new, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "n_lines", "n_removed"])
 
-    kind = joined.schema["row"].dataType.simpleString()
-    out = map_batches(joined, run, f"row {kind}, text string, n_lines long, n_removed long")
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "parts")
+    out = map_batches(joined, run, f"{kinds}, n_lines long, n_removed long")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "n_lines", "n_removed")
