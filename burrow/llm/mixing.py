@@ -151,9 +151,9 @@ def plan(docs: DataFrame, members: Column, weights: tuple = WEIGHTS, most: int =
 def assign(docs: DataFrame, members: Column, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with a struct ``_mix``: source_size, target and copies of its document."""
     h, cell = draw(F.col("doc_id"), seed), F.substring(draw(F.col("doc_id"), seed), 1, 3)
-    p = F.broadcast(planned.select("key", F.struct(*[c for c in planned.columns if c != "key"]).alias("_plan")))
+    p = F.broadcast(planned.select(F.col("key").alias("_mix_plan"), F.struct(*[c for c in planned.columns if c != "key"]).alias("_plan")))
     within = (h < F.col("_plan.last_h")) | ((h == F.col("_plan.last_h")) & F.col("doc_id").eqNullSafe(F.col("_plan.last_id")))
     more = (cell < F.col("_plan.last_cell")) | ((cell == F.col("_plan.last_cell")) & F.coalesce(within, F.lit(False)))
-    out = docs.withColumn("_key", pattern_key(members)).join(p, F.col("_key") == F.col("key"), "left")
+    out = docs.withColumn("_mix_key", pattern_key(members)).join(p, F.col("_mix_key") == F.col("_mix_plan"), "left")
     copies = F.coalesce(F.col("_plan.copies"), F.lit(0)) + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("_mix", F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), copies.alias("copies"))).drop("_key", "key", "_plan")
+    return out.withColumn("_mix", F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), copies.alias("copies"))).drop("_mix_key", "_mix_plan", "_plan")
