@@ -1,4 +1,4 @@
-"""Token ids of whole texts, by way of a cache of white-space separated chunks.
+"""Token ids of whole texts by a lower-casing byte-level tokenizer, by way of a cache of white-space separated chunks.
 
 The tokenizer drops white space and no rule of it looks across white space, so a text's ids are its chunks' ids one
 after the other. Chunks repeat far more often than texts do; each worker keeps the ids of up to ``KEPT`` chunks.
@@ -13,7 +13,24 @@ from array import array
 #: Chunks and words within them that one worker remembers (about 150 bytes each), and the longest chunk in bytes that it does.
 KEPT, KEPT_WORDS, LONGEST = 250_000, 500_000, 100
 #: A word of Latin-1 letters with marks after it: the tokenizer lower-cases the one and splits off the other.
-WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+WORD, MARKS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), b".,;:!?"
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+
+
+def packed(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
 
 
 class ChunkIds(dict):
@@ -25,32 +42,35 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if (m := WORD.fullmatch(text)) and len(chunk) <= LONGEST:
-            raw = self.word(m[1].lower())
-            if m[2]:
-                raw += self.word(m[2])
+        core = chunk.rstrip(MARKS)
+        if core.isalpha():  # ASCII letters
+            raw = self.word(core.lower())
+        elif (text := core.decode("utf-8", "replace")) and len(chunk) <= LONGEST and WORD.fullmatch(text):
+            raw = self.word(text.lower().encode())
         else:
-            raw = self.encode(text)
+            core, raw = chunk, self.encode(chunk.decode("utf-8", "replace"))
+        if len(core) < len(chunk):
+            raw += self.word(chunk[len(core) :])
         if len(chunk) <= LONGEST:
             self[chunk] = raw
         return raw
 
     def encode(self, text: str) -> bytes:
-        raw = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            raw.byteswap()
-        return raw.tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def word(self, text: str) -> bytes:
-        raw = self.words.get(text)
+    def word(self, part: bytes) -> bytes:
+        """Of one pre-token, lower case or marks: what is left to do is to name its bytes and to ask the model."""
+        raw = self.words.get(part)
         if raw is None:
             if len(self.words) > KEPT_WORDS:
                 self.words.clear()
-            raw = self.words[text] = self.encode(text)
+            raw = packed([t.id for t in self.model.tokenize(part.decode("latin-1").translate(LETTERS))])
+            if len(part) <= LONGEST:
+                self.words[part] = raw
         return raw
 
     def of(self, text: bytes) -> bytes:
