@@ -16,17 +16,17 @@ from .sources.files import split_virtual_path
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="burrow", description="extracts files from retro container formats including nested archives")
-    p.add_argument("-t", "--list", nargs="?", const="tree", choices=("tree", "tsv", "json"), help="list the contents of an archive")
-    p.add_argument("-x", "--extract", action="store_true", help="extract files from an archive")
-    p.add_argument("-f", "--file", help="use archive file ARCHIVE")
-    p.add_argument("-v", "--verbose", action="store_true", help="verbosely list files processed")
-    p.add_argument("-C", "--directory", default=".", help="change to directory DIR before extracting")
-    p.add_argument("--strip-components", default="0", help="strip N leading components from file names")
-    p.add_argument("--numeric", action="store_true", help="use numeric IDs instead of names for resources")
+    p = argparse.ArgumentParser(prog="burrow", description="Lists and extracts what is inside archives and disk images, nested ones too.")
+    p.add_argument("-t", "--list", nargs="?", const="tree", choices=("tree", "tsv", "json"), help="show the entries: tree (default), tsv or json")
+    p.add_argument("-x", "--extract", action="store_true", help="write the leaves to files")
+    p.add_argument("-f", "--file", help="the archive; its path may go on inside it")
+    p.add_argument("-v", "--verbose", action="store_true", help="name each file written")
+    p.add_argument("-C", "--directory", default=".", help="the folder to write to")
+    p.add_argument("--strip-components", default="0", help="leave out so many leading folders")
+    p.add_argument("--numeric", action="store_true", help="numbers instead of names for resources and partitions")
     for name in ("permissions", "resource-fork", "attributes", "all"):
         p.add_argument(f"--preserve-{name}", action="store_true")
-    p.add_argument("--exec", dest="command", help="run COMMAND for each extracted file")
+    p.add_argument("--exec", dest="command", help="a shell command that gets each entry on its standard input; {} is its path, quoted")
     p.add_argument("archive", nargs="*")
     return p
 

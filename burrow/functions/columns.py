@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import BY_EXTENSION
+
 BAD = r"[/\\:\x00-\x1f\x7f-\x9f]"
 
 
@@ -88,6 +90,12 @@ def diagnostic_display() -> Column:
     return F.format_string("[%s] %s: %s", F.col("code"), F.col("path"), F.col("message"))
 
 
+def format_of_extension(ext: str | Column) -> Column:
+    """The format that an extension hints at, in either case; null for all others."""
+    known = F.create_map(*[F.lit(x) for pair in BY_EXTENSION.items() for x in pair])
+    return F.try_element_at(known, F.lower(col(ext)))
+
+
 # scalars ------------------------------------------------------------------------------------------------------------
 
 

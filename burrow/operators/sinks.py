@@ -18,7 +18,7 @@ MOST_COPIES = 10_000
 
 
 def safe_output(c: str | Column) -> Column:
-    """A struct: a path below the output folder, or null and the reason."""
+    """A struct: a path below the output folder, or null and the reason (fixed texts)."""
     p = F.replace(C.col(c), F.lit("\\"), F.lit("/"))
     parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
     joined = F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, C.BAD, "_")), "/")

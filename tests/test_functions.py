@@ -49,6 +49,10 @@ def test_names_and_extensions(spark):
     assert values(spark, C.name("p"), ["a/b", "a/", "x"]) == ["b", "", "x"]
 
 
+def test_formats_by_extension(spark):
+    assert values(spark, C.format_of_extension("p"), ["ZIP", "gz", "tgz", "toast", "wl6", "", None]) == ["Zip", "Gzip", None, "Hfs", "Wolf3d", None, None]
+
+
 def test_prefix_rule():
     assert P.matches_prefix("a/file", "a/file") and P.matches_prefix("a/file/x", "a/file") and P.matches_prefix("a", "a/file")
     assert not P.matches_prefix("a/file.mod", "a/file") and not P.matches_prefix("a/sub", "a/subdirectory")
