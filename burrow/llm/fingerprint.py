@@ -134,9 +134,9 @@ def in_range(doc_id: Column, bounds: list) -> Column:
     if not bounds:
         return F.lit(0)
     k = max(1, int(len(bounds) ** 0.5))
-    coarse = F.array(*map(F.lit, bounds[::k]))
+    coarse = F.lit(np.array(bounds[::k]))
     c = F.size(F.filter(coarse, lambda x: x < doc_id))
-    fine = F.slice(F.array(*map(F.lit, bounds)), F.greatest((c - 1) * k + 1, F.lit(1)), F.lit(k))
+    fine = F.slice(F.lit(np.array(bounds)), F.greatest((c - 1) * k + 1, F.lit(1)), F.lit(k))
     return F.when(doc_id.isNull() | (c == 0), 0).otherwise((c - 1) * k + F.size(F.filter(fine, lambda x: x < doc_id)))
 
 
