@@ -30,18 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import mix64, partitions, save, small, texts
+from .common import Bits, key_bits, mix64, partitions, save, small, texts
 from .graph import components
 
 #: 100 * overlap >= LEAST * union.
 LEAST = 75
-CELLS, PARTS = 1 << 20, 16
-EXTRA, SHORT = 16, 16
+CELLS, PARTS = 1 << 21, 16
+EXTRA, SHORT = 16, 24
 #: Lists with more than about 2 ** SALTED entries are dealt over several tasks.
 SALTED = 17
-LIMIT, PIVOTS = 8 << 20, 8
+LIMIT, PIVOTS = 4 << 20, 8
 FLUSH_ROWS, FLUSH_DOCS = 1 << 20, 60_000
-NODES = 1 << 23
 ID_BITS = np.uint64((1 << 47) - 1)
 FLAG = np.uint64(1 << 47)
 
@@ -56,13 +55,13 @@ def linked(overlap: np.ndarray, a: int, b: np.ndarray, least: int) -> np.ndarray
 
 
 def summed(df: DataFrame, column: str = "data") -> np.ndarray:
-    """Adds up vectors of uint16 that come as rows (part, data), part by part."""
+    """Adds up vectors of bytes that come as rows (part, data), part by part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for p, d in zip(b.column("part").to_pylist(), b.column(column).to_pylist(), strict=True):
-                v = np.frombuffer(d, "<u2").astype(np.uint32)
+                v = np.frombuffer(d, np.uint8).astype(np.uint32)
                 total[p] = total[p] + v if p in total else v
         for p, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", column])
@@ -72,7 +71,8 @@ def summed(df: DataFrame, column: str = "data") -> np.ndarray:
 
 
 def in_parts(v: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in np.split(np.minimum(v, 65_535).astype("<u2"), PARTS)]
+    """A task's counts go up to 255: they order the shingles, and what a task sees so often comes last anyway."""
+    return [x.tobytes() for x in np.split(np.minimum(v, 255).astype(np.uint8), PARTS)]
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -87,7 +87,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             for s in shingles.sets(texts(b), width):
                 n.append(len(s))
                 node.append(shingles.key(s)[0])
-                held.append((s >> np.uint64(44)).astype(np.int32))
+                held.append((s >> np.uint64(43)).astype(np.int32))
             if held:
                 count += np.bincount(np.concatenate(held), minlength=CELLS)
             id_type = b.schema.field("doc_id").type
@@ -99,16 +99,17 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, part int, data binary")
 
 
-def ranks(count: np.ndarray) -> np.ndarray:
-    """Of each cell: 0 where nothing stands out, else the logarithm of what does."""
+def ranks(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its place in the order (0 where nothing stands out of the noise of the others, then twice the logarithm of by how many deviations it does), and the logarithm of what stands out."""
     if not len(count):
-        return np.zeros(CELLS, np.uint8)
+        return np.zeros(CELLS, np.uint8), np.zeros(CELLS, np.uint8)
     mean = count.mean()
-    over = np.maximum(count - mean - 6 * np.sqrt(mean), 0)
-    return np.ceil(np.log2(1 + over)).astype(np.uint8)
+    over = np.maximum(count - mean, 0)
+    far = over / np.sqrt(max(mean, 1))
+    return np.where(far < 1, 0, 1 + 2 * np.log2(np.maximum(far, 1))).astype(np.uint8), np.log2(1 + over).astype(np.uint8)
 
 
-def postings(docs: DataFrame, rank: np.ndarray, width: int, least: int, into: int) -> DataFrame:
+def postings(docs: DataFrame, rank: np.ndarray, heat: np.ndarray, width: int, least: int, into: int) -> DataFrame:
     """Rows (part, nodes, sizes, ids, of): each batch's postings for one part, as vectors; ``of`` says which of the nodes posts."""
 
     def flush(node: list[int], size: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -128,8 +129,10 @@ def postings(docs: DataFrame, rank: np.ndarray, width: int, least: int, into: in
 
     def post(s: np.ndarray, node: int, heads: set) -> np.ndarray:
         n = len(s)
-        order = np.sort(rank[s >> np.uint64(44)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))[: n - least_overlap(n, least) + 1 + n // EXTRA]
-        ids, cls = order & ID_BITS, (order >> np.uint64(58)).astype(np.int64)
+        order = np.sort(rank[s >> np.uint64(43)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))[: n - least_overlap(n, least) + 1 + n // EXTRA]
+        ids = order & ID_BITS
+        # the cell is among the 58 bits of the hash that the order keeps
+        cls = heat[order >> np.uint64(37) & np.uint64(CELLS - 1)].astype(np.int64)
         hot = cls > SALTED
         if not hot.any():
             return ids
@@ -226,7 +229,7 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         by = np.argsort(flat, kind="stable")
         flat, self.owner = flat[by], owner[by]
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
@@ -321,31 +324,16 @@ def grouped(df: DataFrame, keys: list[str], into: int, run, schema: str) -> Data
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and data of the rows whose node is among ``nodes``, and perhaps of some others: a table of bits is asked, of a size that is fixed."""
 
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(NODES, bool)
-        for b in batches:
-            bits[mix64(b.column("node").to_numpy().view(np.uint64)) % np.uint64(NODES)] = True
-        packed = np.packbits(bits).astype(np.uint8).view("<u2")
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(packed, PARTS)], pa.binary())], names=["part", "data"])
-
-    def united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, d in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                v = np.frombuffer(d, np.uint8)
-                total[p] = total[p] | v if p in total else v
-        for p, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "data"])
-
-    marks = nodes.select("node").mapInArrow(mark, "part int, data binary").repartition(PARTS, "part").mapInArrow(united, "part int, data binary").collect()
-    packed = b"".join(r["data"] for r in sorted(marks)) or bytes(NODES // 8)
+    packed = key_bits(nodes, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(np.frombuffer(packed, np.uint8)), set()
+        bits, seen = Bits(packed), set()
         for b in small(batches):
+            found = list(shingles.sets(texts(b), width))
+            keys = pa.array([shingles.key(s)[0] for s in found], pa.int64())
             node, data = [], []
-            for s in shingles.sets(texts(b), width):
-                if len(s) and (k := shingles.key(s)[0]) not in seen and bits[mix64(np.array([k], np.int64).view(np.uint64))[0] % np.uint64(NODES)]:
+            for s, k, on in zip(found, keys.to_pylist(), bits.of(keys).tolist(), strict=True):
+                if on and len(s) and k not in seen:
                     seen.add(k)
                     node.append(k)
                     data.append(s.astype("<u8").tobytes())
@@ -357,7 +345,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, width: int, least: int, limit: int) -> DataFrame:
     """node and root of the nodes whose component has another root. ``sizes``: node and n."""
     into = partitions(docs.sparkSession)
-    found = candidates(postings(docs, ranks(count), width, least, into), least, into)
+    found = candidates(postings(docs, *ranks(count), width, least, into), least, into)
     found = save(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")), "candidates")
     places = found.where("shared is null").select("a", "b", "need")
     skipped = save(places.groupBy("b").agg(F.count("*").alias("lists"), F.max("need").alias("need")), "skipped")
