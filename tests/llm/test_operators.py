@@ -512,7 +512,7 @@ def test_near_join(spark, make, monkeypatch, seed, limit, short, salted):
     monkeypatch.setattr(near_join, "SALTED", salted)
     rows = near_rows(seed)
     if not salted:
-        monkeypatch.setattr(near_join, "ranks", lambda count: np.minimum(count, 3).astype(np.uint8))
+        monkeypatch.setattr(near_join, "ranks", lambda count: (np.minimum(count, 3).astype(np.uint8),) * 2)
     got = by_id(near_join.join(make(*rows), limit=limit), "n_shingles", "component_id")
     assert got == components_by_hand(rows)
 
