@@ -1,8 +1,9 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the hashes of the last SPAN lines ends a chunk wherever it meets a fixed pattern, so that equal runs of
-lines are cut alike wherever they stand. A line of LONG_WORDS words or more is a chunk of its own. Chunks
-that count have two lines and MULTI_WORDS words at least, or are such a long line. Of all chunks with equal hashes the
+A rolling hash over the hashes of the last lines ends a chunk wherever it meets a fixed pattern, so that equal runs of
+lines are cut alike wherever they stand. One way of cutting leaves some short runs without a chunk that lies
+inside them; SPANS has a window for each of several ways, whose hashes differ. A line of LONG_WORDS words or more is a
+chunk of its own. Chunks that count have two lines and MULTI_WORDS words at least, or are such a long line. Of all chunks with equal hashes the
 first (by doc_id, then place) stays; of the others those lines go whose bytes equal the first one's, and with them up to CONTEXT
 neighbouring lines on either side that equal the first one's neighbours: chunk bounds rarely meet a passage's ends.
 What goes refers to an equal line that comes earlier in that order, so one copy of every line stays.
@@ -19,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, save, texts
+from .common import key_bits, map_batches, maybe_in, mix64, save, texts
 
-SPAN, EVERY = 2, 2
+SPANS, EVERY = (2, 1, 2, 1, 2, 1), 2
 LONG_WORDS, MULTI_WORDS, CONTEXT = 50, 12, 3
 
 
@@ -32,22 +33,23 @@ def text_hash() -> Column:
 def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
     """Start and number of lines of the chunks that count."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-    with np.errstate(over="ignore"):
-        roll = h.copy()
-        for k in range(1, SPAN):
-            roll[k:] += h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-    cut = mix64(roll) % np.uint64(EVERY) == 0
     long_ = np.array(words) >= LONG_WORDS
-    ends = cut | long_
-    ends[:-1] |= long_[1:]
-    ends[-1] = True
-    at = np.flatnonzero(ends) + 1
-    out, a = [], 0
-    for b in at.tolist():
-        if (b - a > 1 and sum(words[a:b]) >= MULTI_WORDS) or words[a] >= LONG_WORDS:
-            out.append((a, b - a))
-        a = b
-    return out
+    forced = long_.copy()
+    forced[:-1] |= long_[1:]
+    forced[-1] = True
+    out: set[tuple[int, int]] = set()
+    for way, span in enumerate(SPANS):
+        with np.errstate(over="ignore"):
+            roll = h * np.uint64(0x9E3779B97F4A7C15 + 2 * way)
+            for k in range(1, span):
+                roll[k:] += h[:-k] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * k)
+        ends = np.flatnonzero((mix64(roll) % np.uint64(EVERY) == 0) | forced) + 1
+        a = 0
+        for b in ends.tolist():
+            if (b - a > 1 and sum(words[a:b]) >= MULTI_WORDS) or words[a] >= LONG_WORDS:
+                out.add((a, b - a))
+            a = b
+    return sorted(out)
 
 
 def list_chunks(docs: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # the first copy by a partial aggregate: a chunk in a third of all documents is one row from each task
     firsts = save(listed.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "firsts")
     wanted = firsts.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("h1", "h2", "first.start", "first.lines")).alias("wanted"))
-    keyed = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    # of the texts only those with a first copy go through the join
+    keyed = maybe_in(docs.select("doc_id", text_hash().alias("text_hash"), "text"), "text_hash", key_bits(wanted, "text_hash"))
     held = wanted.alias("w").join(keyed.alias("d"), same("w", "d")).select("w.wanted", "d.text")
 
     def fetch(b: pa.RecordBatch):
@@ -102,7 +105,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # rows of equal id and text would give a first copy more than once
     bodies = map_batches(held, fetch, "h1 long, h2 long, body binary, before array<binary>, after array<binary>").dropDuplicates(["h1", "h2"])
-    later = listed.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") == F.col("first.start"))))
+    later = maybe_in(listed, "h1", key_bits(firsts, "h1")).join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") == F.col("first.start"))))
     parts = later.dropDuplicates(["doc_id", "text_hash", "start"]).join(bodies, ["h1", "h2"])
     return parts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "lines", "body", "before", "after")).alias("parts"))
 
