@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, texts
+from .common import map_batches, small, texts
 
 #: Documents of each language to learn from (about as many, chosen by a hash), and entries kept of each kind and language.
-SAMPLE, WORDS, GRAMS = 4000, 30_000, 12_000
+SAMPLE, WORDS, GRAMS = 2500, 30_000, 12_000
 LONGEST_GRAM, ALPHA = 5, 0.5
 #: Words at most that count as independent evidence.
 EVIDENCE = 12
@@ -39,21 +40,24 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def counts(b: pa.RecordBatch):
-    """(lang, n, entry, count) of a batch; n 0: words."""
+def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n, entry, k) of a task's share of the sample; n 0: words."""
     of: dict[str, Counter] = {}
-    for raw, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
-        of.setdefault(lang, Counter()).update(LETTERS.findall(raw.decode("utf-8", "replace").lower()))
+    for b in small(batches):
+        for raw, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
+            of.setdefault(lang, Counter()).update(LETTERS.findall(raw.decode("utf-8", "replace").lower()))
     for lang, words in of.items():
-        kinds = [words, *(Counter() for _ in range(LONGEST_GRAM))]
-        for w, k in words.items():
-            if len(w) <= LONGEST:
-                for n in range(1, LONGEST_GRAM + 1):
-                    for g in grams(w, n):
-                        kinds[n][g] += k
-        for n, c in enumerate(kinds):
+        for n in range(LONGEST_GRAM + 1):
+            c = Counter() if n else words
+            if n:
+                for w, k in words.items():
+                    if len(w) <= LONGEST:
+                        for g in grams(w, n):
+                            c[g] += k
             entries = [e for e in c if len(e) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(entries), pa.string()), pa.array([n] * len(entries), pa.int32()), pa.array(entries, pa.string()), pa.array([c[e] for e in entries], pa.int64())], names=["lang", "n", "entry", "k"])
+            for k in range(0, len(entries), 50_000):
+                part = entries[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array([c[e] for e in part], pa.int64())], names=["lang", "n", "entry", "k"])
 
 
 class Model:
@@ -151,7 +155,7 @@ def learn(docs: DataFrame, usable: Column | None = None) -> Model | None:
         return None
     share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, SAMPLE / n))])
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    found = map_batches(some.select("text", "lang"), counts, "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k"))
+    found = some.select("text", "lang").mapInArrow(counts, "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k"))
     by = Window.partitionBy("lang", "n")
     found = found.withColumn("total", F.sum("k").over(by)).withColumn("at", F.row_number().over(by.orderBy(F.desc("k"), "entry")))
     top = found.where(F.col("at") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "entry", "k", "total").collect()
