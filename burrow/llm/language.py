@@ -61,22 +61,23 @@ def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by kind: entry -> row of one number per language."""
+    """Log frequencies by kind: entry -> one number per language (plain numbers: rows are too short for vectors to pay)."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.key = uuid.uuid4().hex
         self.langs = sorted({r[0] for r in rows})
         col = {x: i for i, x in enumerate(self.langs)}
-        self.kinds: list[dict[str, np.ndarray]] = []
+        self.kinds: list[dict[str, tuple[float, ...]]] = []
         for n in range(LONGEST_GRAM + 1):
             k: dict[str, np.ndarray] = {}
             for lang, m, entry, c in rows:
                 if m == n:
                     k.setdefault(entry, np.zeros(len(self.langs)))[col[lang]] += c
             base = np.array([totals.get((x, n), 0) for x in self.langs], float) + ALPHA * (len(k) + 1)
-            self.kinds.append({e: np.log((v + ALPHA) / base).astype(np.float32) for e, v in k.items()})
+            logs = np.log((np.array(list(k.values())).reshape(-1, len(self.langs)) + ALPHA) / base).tolist()
+            self.kinds.append(dict(zip(k, map(tuple, logs), strict=True)))
 
-    def word(self, w: str) -> np.ndarray | None:
+    def word(self, w: str) -> tuple[float, ...] | None:
         found = self.kinds[0].get(w)
         if found is not None:
             return found
@@ -84,7 +85,7 @@ class Model:
             parts = grams(w, n)
             known = [v for v in map(self.kinds[n].get, parts) if v is not None]
             if known and 2 * len(known) >= len(parts):
-                return np.mean(known, axis=0)
+                return tuple(sum(c) / len(known) for c in zip(*known, strict=True))
         return None
 
 
