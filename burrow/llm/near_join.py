@@ -288,15 +288,16 @@ def local_roots(sets: list[np.ndarray], least: int) -> np.ndarray:
     """Of each set a representative of its component among these sets."""
     union = Union(len(sets))
     if len(sets) > 1:
-        index, largest = Index(sets), -1
+        index, anchor = Index(sets), -1
         for q, s in enumerate(sets):
-            # pairs within the largest component are connected; all others have a member outside, whose turn comes
-            if union.root[q] == largest:
+            # the anchor is chosen once and its component followed through merges: of a link, either both ends are in it
+            # at last, or one is searched
+            if anchor >= 0 and union.root[q] == union.root[anchor]:
                 continue
             for x in index.search(s, union.root != union.root[q], least).tolist():
                 r = union.join(q, x)
-                if largest < 0 or len(union.members[r]) >= len(union.members.get(largest, [])):
-                    largest = r
+                if anchor < 0 and 4 * len(union.members[r]) >= len(sets):
+                    anchor = q
     return union.root
 
 

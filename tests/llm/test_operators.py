@@ -1,6 +1,7 @@
 """The ten operators on small fixtures: edge cases, brute force, round trips."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -545,6 +546,28 @@ def test_index_search_is_exact():
         assert found == want, q
 
 
+def test_local_roots_of_chains():
+    """Chains of near copies, whose links are between neighbours alone, in every order; and two clusters joined by one link."""
+    chain = [np.arange(i, i + 10, dtype=np.uint64) for i in range(6)]
+    for n in range(2, 7):
+        for order in itertools.permutations(range(n)):
+            assert len(set(near_join.local_roots([chain[i] for i in order], near_join.LEAST).tolist())) == 1, order
+    far = [s + np.uint64(1000 * k) for k in (1, 2) for s in chain[:2]]
+    for order in itertools.permutations(range(6)):
+        sets = [(chain[:2] + far)[i] for i in order]
+        assert len(set(near_join.local_roots(sets, near_join.LEAST).tolist())) == 3, order
+
+
+def test_near_join_chains(spark, make):
+    """Versions of which only neighbours reach LEAST, in many orders of their hashes, under the default limit."""
+    rows = []
+    for c in range(40):
+        words = [f"w{c}x{i}" for i in range(34)]
+        rows += [(10 * c + v, " ".join(words[2 * v : 2 * v + 24])) for v in range(4)]
+    got = by_id(near_join.join(make(*rows)), "component_id")
+    assert got == {k: k - k % 10 for k, _ in rows}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
