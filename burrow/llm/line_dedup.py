@@ -1,8 +1,9 @@
 """Line dedup over content-defined chunks of lines.
 
 A rolling hash over the hashes of the last lines ends a chunk wherever it meets a fixed pattern, so that equal runs of
-lines are cut alike wherever they stand. One way of cutting leaves some short runs without a chunk that lies
-inside them; SPANS has a window for each of several ways, whose hashes differ. A line of LONG_WORDS words or more is a
+lines are cut alike wherever they stand; SPANS has a window for each of several ways, whose hashes differ. Cuts can miss
+short runs, so the shortest runs that count, from each line on and up to each line, are chunks too: a repeated passage of
+two lines with words and MULTI_WORDS words at least is covered by those inside it. A line of LONG_WORDS words or more is a
 chunk of its own. Chunks that count have two lines and MULTI_WORDS words at least, or are such a long line. Of all chunks with equal hashes the
 first (by doc_id, then place) stays; of the others those lines go whose bytes equal the first one's, and with them up to CONTEXT
 neighbouring lines on either side that equal the first one's neighbours: chunk bounds rarely meet a passage's ends.
@@ -14,6 +15,8 @@ Rows with equal id and text count as one document and keep the same lines. Extra
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +33,22 @@ def text_hash() -> Column:
     return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
 
 
+def runs(words: list[int]) -> set[tuple[int, int]]:
+    """Start and number of lines of the shortest runs that count, from each line on and up to each line; lines without words neither begin nor end one."""
+    full = [i for i, w in enumerate(words) if w]
+    total = list(accumulate((words[i] for i in full), initial=0))
+    out: set[tuple[int, int]] = set()
+    k = 0
+    for j in range(1, len(full)):
+        # from each line on: those whose run ends here; the last of them is also the shortest one up to here
+        while k < j and total[j + 1] - total[k] >= MULTI_WORDS:
+            out.add((full[k], full[j] + 1 - full[k]))
+            k += 1
+        if k:
+            out.add((full[k - 1], full[j] + 1 - full[k - 1]))
+    return out
+
+
 def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
     """Start and number of lines of the chunks that count."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
@@ -37,7 +56,7 @@ def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
     forced = long_.copy()
     forced[:-1] |= long_[1:]
     forced[-1] = True
-    out: set[tuple[int, int]] = set()
+    out = runs(words)
     for way, span in enumerate(SPANS):
         with np.errstate(over="ignore"):
             roll = h * np.uint64(0x9E3779B97F4A7C15 + 2 * way)
@@ -106,7 +125,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     # rows of equal id and text would give a first copy more than once
     bodies = map_batches(held, fetch, "h1 long, h2 long, body binary, before array<binary>, after array<binary>").dropDuplicates(["h1", "h2"])
     later = maybe_in(listed, "h1", key_bits(firsts, "h1")).join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") == F.col("first.start"))))
-    parts = later.dropDuplicates(["doc_id", "text_hash", "start"]).join(bodies, ["h1", "h2"])
+    parts = later.dropDuplicates(["doc_id", "text_hash", "start", "lines"]).join(bodies, ["h1", "h2"])
     return parts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "lines", "body", "before", "after")).alias("parts"))
 
 

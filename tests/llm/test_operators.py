@@ -125,6 +125,36 @@ def test_line_dedup_loses_no_line(spark, make):
     assert before <= after | {""}
 
 
+def test_line_dedup_runs_by_brute_force():
+    """Each line of any passage that counts is in a run inside it, and every run counts and has no shorter one."""
+    r = random.Random(9)
+    for _ in range(300):
+        words = [r.choice([0, 0, 1, 3, 7, 14, 30]) for _ in range(r.randint(0, 12))]
+
+        def counts(a, z, words=words):
+            return sum(w > 0 for w in words[a:z]) > 1 and sum(words[a:z]) >= line_dedup.MULTI_WORDS
+
+        every = {(a, z - a) for a in range(len(words)) for z in range(a + 1, len(words) + 1) if words[a] and words[z - 1] and counts(a, z)}
+        got = line_dedup.runs(words)
+        assert got <= every
+        for a, n in every:
+            assert {i for b, m in got if a <= b and b + m <= a + n for i in range(b, b + m)} == set(range(a, a + n)), (words, a, n)
+
+
+def test_line_dedup_short_passages(spark, make):
+    """Passages of 2, 3 and 4 lines, of over 50 words in all, none with a line of 50, between lines that differ."""
+    rows, want = [], {}
+    for n in (2, 3, 4):
+        for c in range(25):
+            shared = [" ".join(f"p{n}x{c}l{k}w{i}" for i in range(49 if n == 2 else 19)) for k in range(n)]
+            for copy in (0, 1):
+                k = 1000 * n + 2 * c + copy
+                own = [" ".join(f"o{k}s{s}w{i}" for i in range(20)) for s in range(4)]
+                rows.append((k, "\n".join([*own[:2], *shared, *own[2:]])))
+                want[k] = "\n".join(own) if copy else rows[-1][1]
+    assert by_id(line_dedup.dedup(make(*rows)), "text") == want
+
+
 def test_line_dedup_edges(spark, make):
     assert line_dedup.dedup(make(*EDGES)).count() == len(EDGES)
     assert line_dedup.dedup(make(*EDGES).limit(0)).count() == 0
