@@ -4,7 +4,8 @@ A rolling hash over the hashes of the last lines ends a chunk wherever it meets
 lines are cut alike wherever they stand; SPANS has a window for each of several ways, whose hashes differ. Cuts can miss
 short runs, so the shortest runs that count, from each line on and up to each line, are chunks too: a repeated passage of
 two lines with words and MULTI_WORDS words at least is covered by those inside it. A line of LONG_WORDS words or more is a
-chunk of its own. Chunks that count have two lines and MULTI_WORDS words at least, or are such a long line. Of all chunks with equal hashes the
+chunk of its own. Chunks that count have two lines and MULTI_WORDS words at least, or are such a long line; in chunks of
+several lines WORD_BYTES bytes of a line count as a word where that gives more, for scripts without spaces. Of all chunks with equal hashes the
 first (by doc_id, then place) stays; of the others those lines go whose bytes equal the first one's, and with them up to CONTEXT
 neighbouring lines on either side that equal the first one's neighbours: chunk bounds rarely meet a passage's ends.
 What goes refers to an equal line that comes earlier in that order, so one copy of every line stays.
@@ -27,6 +28,7 @@ from .common import key_bits, map_batches, maybe_in, mix64, save, texts
 
 SPANS, EVERY = (2, 1, 2, 1, 2, 1), 2
 LONG_WORDS, MULTI_WORDS, CONTEXT = 50, 12, 3
+WORD_BYTES = 6
 
 
 def text_hash() -> Column:
@@ -56,7 +58,8 @@ def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
     forced = long_.copy()
     forced[:-1] |= long_[1:]
     forced[-1] = True
-    out = runs(words)
+    weight = [max(w, len(x) // WORD_BYTES) if w else 0 for x, w in zip(lines, words, strict=True)]
+    out = runs(weight)
     for way, span in enumerate(SPANS):
         with np.errstate(over="ignore"):
             roll = h * np.uint64(0x9E3779B97F4A7C15 + 2 * way)
@@ -65,7 +68,7 @@ def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
         ends = np.flatnonzero((mix64(roll) % np.uint64(EVERY) == 0) | forced) + 1
         a = 0
         for b in ends.tolist():
-            if (b - a > 1 and sum(words[a:b]) >= MULTI_WORDS) or words[a] >= LONG_WORDS:
+            if (b - a > 1 and sum(weight[a:b]) >= MULTI_WORDS) or words[a] >= LONG_WORDS:
                 out.add((a, b - a))
             a = b
     return sorted(out)

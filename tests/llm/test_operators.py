@@ -155,6 +155,13 @@ def test_line_dedup_short_passages(spark, make):
     assert by_id(line_dedup.dedup(make(*rows)), "text") == want
 
 
+def test_line_dedup_without_spaces(spark, make):
+    shared = ["".join(chr(0x4E00 + 37 * k + i) for i in range(30)) for k in range(2)]
+    rows = [(i, "\n".join([f"這是第{i}篇", *shared, f"完{i}"])) for i in range(3)]
+    got = by_id(line_dedup.dedup(make(*rows)), "text")
+    assert got == {0: rows[0][1], 1: "這是第1篇\n完1", 2: "這是第2篇\n完2"}
+
+
 def test_line_dedup_edges(spark, make):
     assert line_dedup.dedup(make(*EDGES)).count() == len(EDGES)
     assert line_dedup.dedup(make(*EDGES).limit(0)).count() == 0
