@@ -204,19 +204,30 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return ranges.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+#: Rows of a band's block that are compared with all of the band in one task.
+BLOCK = 1024
+
+
 def near_links(prints: DataFrame, least: float = 0.6, bands: int = 24, bits: int = 24) -> DataFrame:
-    """Links doc_id, near_id, likeness between rows and the smallest id that they share a band with, likeness ``least`` or more.
+    """Links doc_id, near_id (the smaller one), likeness between rows that share a band and have likeness ``least`` or more.
 
-    A band is ``bits`` sampled bits of the fingerprint. Rows of a band meet its smallest id alone, found
-    by a partial aggregate: a group of any size gives a link per row, never all pairs.
+    A band is ``bits`` sampled bits of the fingerprint. Rows of equal fingerprints link to their smallest id, which alone
+    stands for them in the bands; there every two are compared, in blocks of about BLOCK rows against all of the band. A band
+    that many different fingerprints share takes time by the square of their number: no head could stand for them.
     """
     rng = np.random.default_rng(SEED + 1)
     picks = [sorted(rng.choice(SLOTS, bits // 8, replace=False).tolist()) for _ in range(bands)]
     keys = F.array(*[F.concat_ws("", F.lit(f"{n}:"), *[F.substring("fingerprint", 2 * s + 1, 2) for s in p]) for n, p in enumerate(picks)])
     rows = prints.select("doc_id", "fingerprint").where("fingerprint rlike '[1-9a-f]'")
-    banded = rows.select("doc_id", "fingerprint", F.explode(keys).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    pairs = banded.join(heads, "band").where("doc_id != head.doc_id").groupBy("doc_id", F.col("head.doc_id").alias("near_id")).agg(F.first("fingerprint").alias("a"), F.first("head.fingerprint").alias("b"))
+    firsts = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    copies = rows.join(firsts, "fingerprint").where("doc_id != first").select("doc_id", F.col("first").alias("near_id"), F.lit(1.0).alias("likeness"))
+    banded = firsts.select("first", "fingerprint", F.explode(keys).alias("band"))
+    blocks = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = banded.join(blocks, "band")
+    block = F.pmod(F.xxhash64("first"), F.col("blocks").cast("long")).cast("int")
+    left = placed.select("band", block.alias("block"), F.col("first").alias("doc_id"), F.col("fingerprint").alias("a"))
+    right = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("first").alias("near_id"), F.col("fingerprint").alias("b"))
+    pairs = left.join(right, ["band", "block"]).where("near_id < doc_id")
     slots = F.sequence(F.lit(1), F.lit(2 * SLOTS - 1), F.lit(2))
 
     def byte(c: str, i: Column) -> Column:
@@ -224,4 +235,5 @@ def near_links(prints: DataFrame, least: float = 0.6, bands: int = 24, bits: int
 
     same = F.size(F.filter(slots, lambda i: (byte("a", i) == byte("b", i)) & (byte("a", i) != "00")))
     used = F.size(F.filter(slots, lambda i: (byte("a", i) != "00") | (byte("b", i) != "00")))
-    return pairs.withColumn("likeness", same / used).where(F.col("likeness") >= least).select("doc_id", "near_id", "likeness")
+    near = pairs.withColumn("likeness", same / used).where(F.col("likeness") >= least).select("doc_id", "near_id", "likeness")
+    return near.unionByName(copies).dropDuplicates(["doc_id", "near_id"])

@@ -96,6 +96,24 @@ def test_fingerprint_links(spark, make):
     assert (2, 1) in links and (3, 1) in links and not any(4 in x or 5 in x for x in links)
 
 
+def test_fingerprint_links_beyond_the_head(spark, monkeypatch):
+    """Rows that share much with each other: every near pair that shares a band is a link, whatever the band's smallest id is."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    # two notes a slot: likeness 0.5 between any rows, eight values of a band
+    shared = r.permuted(np.tile(np.arange(1, 256, dtype=np.uint8), (fingerprint.SLOTS, 1)), axis=1)[:, :2].T
+    prints = {}
+    for i in range(0, 60, 2):
+        own = np.where(r.random(fingerprint.SLOTS) < 0.5, *shared)
+        near = own.copy()
+        near[r.choice(fingerprint.SLOTS, 6, replace=False)] = r.integers(1, 256, 6)
+        prints |= {i: own, i + 1: near}
+    df = spark.createDataFrame([(k, v.tobytes().hex()) for k, v in prints.items()], "doc_id long, fingerprint string")
+    links = {(x["doc_id"], x["near_id"]) for x in fingerprint.near_links(df).collect()}
+    assert {(i + 1, i) for i in range(0, 60, 2)} <= links
+    assert all((prints[a] == prints[b]).mean() >= 0.6 for a, b in links)
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
