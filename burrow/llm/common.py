@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text, and rows, that one step of a batch operator works on at a time: what a worker holds doesn't follow the size of Arrow's batches.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
@@ -19,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def setting(spark: SparkSession, name: str) -> str | None:
+    return spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("burrow.scratch.dir", None)
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Only a local session, whose executor is the driver, may leave it unset: it gets a new folder of its own."""
+    found = setting(spark, "spark.checkpoint.dir") or setting(spark, "burrow.scratch.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="burrow-")
         spark.conf.set("burrow.scratch.dir", found)
     return found.rstrip("/")
@@ -48,14 +55,17 @@ def drop_saved(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a batch is held several times over on its way.
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over on its way. The session's ``burrow.batch.rows``
+#: says otherwise; 0 leaves Spark's own setting as it is, and so does a session that has changed Spark's default itself.
 BATCH_ROWS = 1000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def modest(spark: SparkSession) -> None:
-    if spark.conf.get(_SETTING) == "10000":
-        spark.conf.set(_SETTING, str(BATCH_ROWS))
+    """Sets the rows of an Arrow batch for the session: Spark reads them when a query starts, which may be long after an operator has returned."""
+    rows = int(setting(spark, "burrow.batch.rows") or BATCH_ROWS)
+    if rows and spark.conf.get(_SETTING) == _DEFAULT:
+        spark.conf.set(_SETTING, str(rows))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -98,35 +108,44 @@ def slices(lengths: Iterable[int], most: int = SLICE_BYTES) -> Iterator[slice]:
         yield slice(start, i + 1)
 
 
-#: Bits and parts of a table of hashed keys.
-KEY_BITS, KEY_PARTS = 1 << 23, 16
+#: Of a table of hashed keys: bits for each key, the fewest and the most bits, and bits of one part.
+PER_KEY, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 20, 1 << 29, 1 << 20
 
 
-def _places(column: pa.Array) -> np.ndarray:
-    return mix64(column.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(KEY_BITS)
+def _places(column: pa.Array, bits: int) -> np.ndarray:
+    return mix64(column.to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1)
 
 
-def key_bits(df: DataFrame, column: str) -> bytes:
-    """A table of bits, of a fixed size, that says of a long whether it may be in ``column``: it makes joins smaller, and never decides them."""
+def key_bits(keys: DataFrame, column: str) -> bytes:
+    """A table of bits that says of a long whether it may be in ``column`` of a saved table: it makes joins smaller, and never decides them.
+
+    It has PER_KEY bits for each key up to MOST_BITS (64 MB); with more keys than fit, more rows that nothing needs go through the join.
+    """
+    found = keys.select(F.col(column).alias("k")).where("k is not null")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_KEY * found.count()).bit_length()))
+    parts = bits // PART_BITS
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(KEY_BITS, bool)
         for b in batches:
-            bits[_places(b.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(range(KEY_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(np.packbits(bits), KEY_PARTS)], pa.binary())], names=["part", "data"])
+            at = np.unique(_places(b.column(0), bits))
+            part = (at // np.uint64(PART_BITS)).astype(np.int64)
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(at)] if len(at) else np.zeros(1, int)
+            low = (at % np.uint64(PART_BITS)).astype("<u4")
+            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in pairs], pa.int32()), pa.array([low[a:z].tobytes() for a, z in pairs], pa.binary())], names=["part", "data"])
 
     def united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for p, d in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                v = np.frombuffer(d, np.uint8)
-                total[p] = total[p] | v if p in total else v
+                total.setdefault(p, np.zeros(PART_BITS, bool))[np.frombuffer(d, "<u4")] = True
         for p, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(v).tobytes()], pa.binary())], names=["part", "data"])
 
-    marked = df.select(column).where(f"`{column}` is not null").mapInArrow(mark, "part int, data binary")
-    found = {r["part"]: bytes(r["data"]) for r in marked.repartition(KEY_PARTS, "part").mapInArrow(united, "part int, data binary").collect()}
-    return b"".join(found.get(p, bytes(KEY_BITS // 8 // KEY_PARTS)) for p in range(KEY_PARTS))
+    marked = found.mapInArrow(mark, "part int, data binary")
+    rows = marked.repartition(min(parts, 64), "part").mapInArrow(united, "part int, data binary").collect()
+    by_part = {r["part"]: bytes(r["data"]) for r in rows}
+    return b"".join(by_part.get(p, bytes(PART_BITS // 8)) for p in range(parts))
 
 
 class Bits:
@@ -136,7 +155,7 @@ class Bits:
         self.packed = np.frombuffer(packed, np.uint8)
 
     def of(self, column: pa.Array) -> np.ndarray:
-        at = _places(column)
+        at = _places(column, 8 * len(self.packed))
         return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -145,6 +164,40 @@ def maybe_in(df: DataFrame, column: str, packed: bytes) -> DataFrame:
     return map_batches(df, lambda b: [b.filter(pa.array(Bits(packed).of(b.column(column))))], df.schema)
 
 
+#: Rows of one key that a task gets at least before the key is dealt over several.
+DEALT_ROWS = 256
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a saved ``table`` that has one row for each ``on`` and the number ``n`` of rows that ask for it (dropped).
+
+    Keys with more than an eighth of a task's average share are dealt over several tasks by a hash of ``by``; there are eight of them
+    for each task at most, which bounds what is broadcast.
+    """
+    into = partitions(rows.sparkSession)
+    most = max(DEALT_ROWS, int(table.agg(F.sum("n")).first()[0] or 0) // (8 * into))
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(table.where(F.col("n") > most).select(F.col(on).alias("_hot"), salts.alias("_salts")))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
+    salted = rows.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
+    return salted.join(dealt, [on, "_salt"], how).drop("_salt")
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on: whatever they are called, nothing clashes with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, columns: list[str], *more: str | Column) -> DataFrame:
+    """The columns of ``numbered`` under their names again, and ``more``."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *more)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the rows that no model learns from: crc32 of the id as text leaves no remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -8,7 +8,8 @@ sees one row per pattern (sources are a bounded vocabulary), never one per docum
 
 Edge cases: a null text has size 0 and is taken 0 times its size; a null source is a source of its own, after all
 others; an array of sources counts each source once and an empty one is a pattern that no quota takes words from.
-Rows with equal ids share one decision. Empty tables give empty results. Extra columns stay unread.
+Rows with equal ids share one decision, and so do rows without an id of one size (``repeated``: rows with equal id and text do). Empty
+tables give empty results. Extra columns pass through ``assign`` and ``repeated``, whatever they are called, and stay unread.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import named
+
 #: Weights dealt to the sources in the order of their names, and the most copies of a document.
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,8 +39,13 @@ def pattern_key(members: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def unit() -> Column:
+    """What is decided on as one, as text: the rows of an id."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string")))
+
+
+def draw(name: Column, seed: int = SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
 
 
 def targets(sizes: dict, weights: dict, most: int = MOST_COPIES) -> dict:
@@ -115,13 +123,13 @@ def route(pattern_sizes: dict[tuple, int], quota: dict, most: int = MOST_COPIES)
     return {p: sum(map(net.used, es)) for p, es in given.items()}
 
 
-def plan(docs: DataFrame, members: Column, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, members: Column, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, decide: Column | None = None) -> DataFrame:
     """One row per pattern: key, its sources' size and target (of the first source), copies for all, and the last draw that gets one more.
 
-    ``docs`` needs doc_id and size (long).
+    ``docs`` needs doc_id and size (long). ``decide``: a text; rows that share it are taken together.
     """
     spark = docs.sparkSession
-    rows = docs.select(pattern_key(members).alias("key"), "doc_id", "size", draw(F.col("doc_id"), seed).alias("h"))
+    rows = docs.select(pattern_key(members).alias("key"), "size", draw(unit() if decide is None else decide, seed).alias("h"))
     sums = rows.groupBy("key", F.substring("h", 1, 3).alias("cell")).agg(F.sum("size").alias("words"))
     cells = sums.withColumn("before", F.sum("words").over(Window.partitionBy("key").orderBy("cell")) - F.col("words"))
     per = {r["key"]: int(r["n"] or 0) for r in sums.groupBy("key").agg(F.sum("words").alias("n")).collect()}
@@ -141,19 +149,33 @@ def plan(docs: DataFrame, members: Column, weights: tuple = WEIGHTS, most: int =
     out = spark.createDataFrame(table, "key string, source_size long, target double, copies long, more long")
     cut = cells.join(F.broadcast(out), "key").where("more > before and more <= before + words").select("key", "cell", "before", "more")
     # of each pattern only the documents of one cell of 4096 are put in order
-    edge = rows.withColumn("cell", F.substring("h", 1, 3)).join(F.broadcast(cut), ["key", "cell"]).groupBy("key", "h", "doc_id").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("more").alias("more"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("h", "doc_id")) - F.col("size")
-    last = edge.withColumn("upto", upto).where("2 * upto + size <= 2 * more").groupBy("key").agg(F.max(F.struct("h", "doc_id")).alias("last"))
-    found = cut.join(last, "key", "left").select("key", F.col("cell").alias("last_cell"), F.col("last.h").alias("last_h"), F.col("last.doc_id").alias("last_id"))
-    return spark.createDataFrame(out.join(found, "key", "left").collect(), out.schema.add("last_cell", "string").add("last_h", "string").add("last_id", docs.schema["doc_id"].dataType))
-
-
-def assign(docs: DataFrame, members: Column, planned: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with a struct ``_mix``: source_size, target and copies of its document."""
-    h, cell = draw(F.col("doc_id"), seed), F.substring(draw(F.col("doc_id"), seed), 1, 3)
-    p = F.broadcast(planned.select(F.col("key").alias("_mix_plan"), F.struct(*[c for c in planned.columns if c != "key"]).alias("_plan")))
-    within = (h < F.col("_plan.last_h")) | ((h == F.col("_plan.last_h")) & F.col("doc_id").eqNullSafe(F.col("_plan.last_id")))
-    more = (cell < F.col("_plan.last_cell")) | ((cell == F.col("_plan.last_cell")) & F.coalesce(within, F.lit(False)))
-    out = docs.withColumn("_mix_key", pattern_key(members)).join(p, F.col("_mix_key") == F.col("_mix_plan"), "left")
-    copies = F.coalesce(F.col("_plan.copies"), F.lit(0)) + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("_mix", F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), copies.alias("copies"))).drop("_mix_key", "_mix_plan", "_plan")
+    edge = rows.withColumn("cell", F.substring("h", 1, 3)).join(F.broadcast(cut), ["key", "cell"]).groupBy("key", "h").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("more").alias("more"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("h")) - F.col("size")
+    last = edge.withColumn("upto", upto).where("2 * upto + size <= 2 * more").groupBy("key").agg(F.max("h").alias("last_h"))
+    found = cut.join(last, "key", "left").select("key", F.col("cell").alias("last_cell"), "last_h")
+    return spark.createDataFrame(out.join(found, "key", "left").collect(), out.schema.add("last_cell", "string").add("last_h", "string"))
+
+
+def _assigned(docs: DataFrame, members: Column, planned: DataFrame, seed: int, decide: Column | None) -> DataFrame:
+    """The columns by number (c0, c1, ...) and a struct ``mix``."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], pattern_key(members).alias("key"), draw(unit() if decide is None else decide, seed).alias("h"))
+    p = F.broadcast(planned.select(F.col("key").alias("of"), F.struct(*[c for c in planned.columns if c != "key"]).alias("plan")))
+    cell = F.substring("h", 1, 3)
+    more = (cell < F.col("plan.last_cell")) | ((cell == F.col("plan.last_cell")) & (F.col("h") <= F.col("plan.last_h")))
+    out = rows.join(p, F.col("key") == F.col("of"), "left")
+    copies = F.coalesce(F.col("plan.copies"), F.lit(0)) + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+    return out.withColumn("mix", F.struct(F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), copies.alias("copies")))
+
+
+def assign(docs: DataFrame, members: Column, planned: DataFrame, seed: int = SEED, decide: Column | None = None) -> DataFrame:
+    """``docs`` with a struct ``_mix`` (last): source_size, target and copies of its document."""
+    return named(_assigned(docs, members, planned, seed, decide), docs.columns, F.col("mix").alias("_mix"))
+
+
+def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of documents (doc_id, text, source and any other columns), each as often as the mix takes it."""
+    decide = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), decide.alias("decide"))
+    planned = plan(sized, F.array("source"), seed=seed, decide=F.col("decide"))
+    out = _assigned(docs, F.array("source"), planned, seed, decide).where("mix.copies > 0")
+    return named(out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))), docs.columns)
