@@ -15,9 +15,12 @@ that nothing is rounded). Texts with equal sets are one node.
 5. A component beyond LIMIT shingles is dealt over several tasks that share some of its sets as pivots; what stays
    outside its largest part then is searched against all its sets, block by block.
 
+Sets are known by 64 bits of a hash; where two different sets share them, by 64 others.
+
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing, not even with each
 other; a text of fewer than WIDTH words has one shingle. Repeated rows link with each other. Lists of any length,
-copies in any number and texts of any length are handled without caps. Extra columns are neither read nor returned.
+copies in any number and texts of any length are handled without caps. Rows without an id take part; their component is
+that of the smallest id they lead to, or null. Extra columns are neither read nor returned by ``join``; ``first_of_each`` returns them.
 """
 
 from __future__ import annotations
@@ -28,18 +31,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import shingles
-from .common import Bits, key_bits, mix64, partitions, save, small, texts
+from . import graph, shingles
+from .common import Bits, arrow_type, key_bits, map_batches, maybe_in, mix64, named, numbered, partitions, save, small, spread_join, texts
 from .graph import components
 
 #: 100 * overlap >= LEAST * union.
 LEAST = 75
 CELLS, PARTS = 1 << 21, 16
+#: Postings that a task merges: with more, there are more tasks than the session's shuffle partitions.
+POSTINGS = 1 << 22
 EXTRA, SHORT = 16, 24
 #: Lists with more than about 2 ** SALTED entries are dealt over several tasks.
 SALTED = 17
-LIMIT, PIVOTS = 4 << 20, 8
+LIMIT = 4 << 20
 FLUSH_ROWS, FLUSH_DOCS = 1 << 20, 60_000
 ID_BITS = np.uint64((1 << 47) - 1)
 FLAG = np.uint64(1 << 47)
@@ -54,62 +60,80 @@ def linked(overlap: np.ndarray, a: int, b: np.ndarray, least: int) -> np.ndarray
     return 100 * overlap >= least * (a + b - overlap)
 
 
-def summed(df: DataFrame, column: str = "data") -> np.ndarray:
-    """Adds up vectors of bytes that come as rows (part, data), part by part."""
+def summed(df: DataFrame) -> np.ndarray:
+    """Adds up vectors of counts that come as rows (part, data, more), part by part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, d in zip(b.column("part").to_pylist(), b.column(column).to_pylist(), strict=True):
-                v = np.frombuffer(d, np.uint8).astype(np.uint32)
-                total[p] = total[p] + v if p in total else v
+            for p, d, m in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), b.column("more").to_pylist(), strict=True):
+                v = total.setdefault(p, np.zeros(len(d), np.uint64))
+                v += np.frombuffer(d, np.uint8)
+                over = np.frombuffer(m, "<u8").reshape(2, -1)
+                v[over[0].astype(np.int64)] += over[1]
         for p, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", column])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "data"])
 
-    rows = df.select("part", column).repartition(PARTS, "part").mapInArrow(run, f"part int, {column} binary").collect()
-    return np.concatenate([np.frombuffer(r[1], "<u4") for r in sorted(rows)]) if rows else np.zeros(0, np.uint32)
+    rows = df.select("part", "data", "more").repartition(PARTS, "part").mapInArrow(run, "part int, data binary").collect()
+    return np.concatenate([np.frombuffer(r[1], "<u8") for r in sorted(rows)]) if rows else np.zeros(0, np.uint64)
 
 
-def in_parts(v: np.ndarray) -> list[bytes]:
-    """A task's counts go up to 255: they order the shingles, and what a task sees so often comes last anyway."""
-    return [x.tobytes() for x in np.split(np.minimum(v, 255).astype(np.uint8), PARTS)]
+def in_parts(v: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """A task's counts, a byte each; and, of the cells that a byte can't hold, their places and what is missing."""
+    data, more = [], []
+    for x in np.split(v, PARTS):
+        at = np.flatnonzero(x > 255)
+        data.append(np.minimum(x, 255).astype(np.uint8).tobytes())
+        more.append(np.concatenate([at, x[at] - 255]).astype("<u8").tobytes())
+    return data, more
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """Of each row doc_id, n and node (0 and 0 without shingles); and rows (part, data) with each task's counts by cell."""
+    """Of each row doc_id, hash (of its text), n and node and other (zeros without shingles); and rows (part, data, more) with each task's counts by cell."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names, id_type = ["doc_id", "hash", "n", "node", "other", "part", "data", "more"], arrow_type(docs, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, names, id_type = np.zeros(CELLS, np.int64), ["doc_id", "n", "node", "part", "data"], pa.int64()
+        count = np.zeros(CELLS, np.int64)
         for b in small(batches):
-            n, node = [], []
+            n, node, other = [], [], []
             held: list[np.ndarray] = []
             for s in shingles.sets(texts(b), width):
                 n.append(len(s))
-                node.append(shingles.key(s)[0])
+                x, y = shingles.key(s)
+                node.append(x)
+                other.append(y)
                 held.append((s >> np.uint64(43)).astype(np.int32))
             if held:
                 count += np.bincount(np.concatenate(held), minlength=CELLS)
-            id_type = b.schema.field("doc_id").type
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *(pa.array(x, pa.int64()) for x in (n, node, other)), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=names)
         none = [None] * PARTS
-        yield pa.RecordBatch.from_arrays([pa.array(none, id_type), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(in_parts(count), pa.binary())], names=names)
+        data, more = in_parts(count)
+        yield pa.RecordBatch.from_arrays([pa.array(none, id_type), *(pa.array(none, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=names)
+
+    found = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return found.mapInArrow(run, f"doc_id {kind}, hash long, n long, node long, other long, part int, data binary, more binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, part int, data binary")
+
+def node_of(shingle_set: np.ndarray, twice: frozenset[int]) -> int:
+    """``twice``: the nodes that would stand for several sets."""
+    a, b = shingles.key(shingle_set)
+    return b if a in twice else a
 
 
 def ranks(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each cell its place in the order (0 where nothing stands out of the noise of the others, then twice the logarithm of by how many deviations it does), and the logarithm of what stands out."""
     if not len(count):
         return np.zeros(CELLS, np.uint8), np.zeros(CELLS, np.uint8)
+    count = count.astype(float)
     mean = count.mean()
     over = np.maximum(count - mean, 0)
     far = over / np.sqrt(max(mean, 1))
     return np.where(far < 1, 0, 1 + 2 * np.log2(np.maximum(far, 1))).astype(np.uint8), np.log2(1 + over).astype(np.uint8)
 
 
-def postings(docs: DataFrame, rank: np.ndarray, heat: np.ndarray, width: int, least: int, into: int) -> DataFrame:
+def postings(docs: DataFrame, rank: np.ndarray, heat: np.ndarray, twice: frozenset[int], width: int, least: int, into: int) -> DataFrame:
     """Rows (part, nodes, sizes, ids, of): each batch's postings for one part, as vectors; ``of`` says which of the nodes posts."""
 
     def flush(node: list[int], size: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -149,7 +173,7 @@ def postings(docs: DataFrame, rank: np.ndarray, heat: np.ndarray, width: int, le
             for s in shingles.sets(texts(b), width):
                 if not len(s):
                     continue
-                k = shingles.key(s)[0]
+                k = node_of(s, twice)
                 if k in seen:  # a copy posts once
                     continue
                 seen.add(k)
@@ -267,63 +291,23 @@ class Index:
         return found[linked(overlap, len(s), self.size[found], least)]
 
 
-class Union:
-    def __init__(self, n: int):
-        self.root, self.members = np.arange(n), {}
+def local_roots(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Of each set a representative of its component among these sets."""
+    return graph.local_roots(finder(least)(sets), sets)
 
-    def join(self, a: int, b: int) -> int:
-        """Relabels the smaller side; the root that stays."""
-        a, b = int(self.root[a]), int(self.root[b])
-        if a != b:
-            x, y = self.members.pop(a, [a]), self.members.pop(b, [b])
-            if len(x) < len(y):
-                a, x, y = b, y, x
-            self.root[y] = a
-            x.extend(y)
-            self.members[a] = x
-        return a
 
+def finder(least: int):
+    """For ``graph.linked``: of some sets a search for those that link with another one."""
 
-def local_roots(sets: list[np.ndarray], least: int) -> np.ndarray:
-    """Of each set a representative of its component among these sets."""
-    union = Union(len(sets))
-    if len(sets) > 1:
-        index, anchor = Index(sets), -1
-        for q, s in enumerate(sets):
-            # the anchor is chosen once and its component followed through merges: of a link, either both ends are in it
-            # at last, or one is searched
-            if anchor >= 0 and union.root[q] == union.root[anchor]:
-                continue
-            for x in index.search(s, union.root != union.root[q], least).tolist():
-                r = union.join(q, x)
-                if anchor < 0 and 4 * len(union.members[r]) >= len(sets):
-                    anchor = q
-    return union.root
-
-
-def grouped(df: DataFrame, keys: list[str], into: int, run, schema: str) -> DataFrame:
-    """``run(group key, node list, role list, sets)`` for each group, one at a time."""
-
-    def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for *k, node, role, data in zip(*(some.column(c).to_pylist() for c in (*keys, "node", "role", "data")), strict=True):
-                    if k != now:
-                        if rows:
-                            yield run(now, *zip(*rows, strict=True))
-                        now, rows = k, []
-                    if not rows or (rows[-1][0], rows[-1][1]) != (node, role):  # a copy
-                        rows.append((node, role, np.frombuffer(data, "<u8")))
-        if rows:
-            yield run(now, *zip(*rows, strict=True))
+    def index(sets: list[np.ndarray]):
+        held = Index(sets)
+        return lambda s, wanted: held.search(s, wanted, least)
 
-    return df.repartition(into, *keys).sortWithinPartitions(*keys, "role", "node").select(*keys, "node", "role", "data").mapInArrow(stream, schema)
+    return index
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and data of the rows whose node is among ``nodes``, and perhaps of some others: a table of bits is asked, of a size that is fixed."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, twice: frozenset[int], width: int) -> DataFrame:
+    """node and data of the rows whose node is among ``nodes``, and perhaps of some others: a table of bits is asked."""
 
     packed = key_bits(nodes, "node")
 
@@ -331,7 +315,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         bits, seen = Bits(packed), set()
         for b in small(batches):
             found = list(shingles.sets(texts(b), width))
-            keys = pa.array([shingles.key(s)[0] for s in found], pa.int64())
+            keys = pa.array([node_of(s, twice) for s in found], pa.int64())
             node, data = [], []
             for s, k, on in zip(found, keys.to_pylist(), bits.of(keys).tolist(), strict=True):
                 if on and len(s) and k not in seen:
@@ -343,10 +327,11 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, data binary")
 
 
-def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, width: int, least: int, limit: int) -> DataFrame:
+def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, twice: frozenset[int], width: int, least: int, limit: int) -> DataFrame:
     """node and root of the nodes whose component has another root. ``sizes``: node and n."""
     into = partitions(docs.sparkSession)
-    found = candidates(postings(docs, *ranks(count), width, least, into), least, into)
+    dealt = max(into, int(count.sum() * (100 - least + 100 / EXTRA) / 100) // POSTINGS + 1)
+    found = candidates(postings(docs, *ranks(count), twice, width, least, dealt), least, dealt)
     found = save(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")), "candidates")
     places = found.where("shared is null").select("a", "b", "need")
     skipped = save(places.groupBy("b").agg(F.count("*").alias("lists"), F.max("need").alias("need")), "skipped")
@@ -362,66 +347,54 @@ def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, width: int,
     group = components(pairs.where(F.col("shared") + ahead >= F.col("need")).select("a", "b").unionAll(ties), "ties")
     group = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct())
     group = save(group.join(sizes, "node"), "groups")
-    total = group.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("nodes"))
-    tasks = F.ceil(F.col("total") / limit).cast("int")
-    total = total.select(F.col("root").alias("_root"), tasks.alias("tasks"), F.greatest(F.floor(F.col("nodes") / PIVOTS), F.lit(1)).alias("_of"))
-    placed = group.join(total, F.col("root") == F.col("_root")).drop("_root", "n")
-    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.col("tasks").cast("long")).cast("int")
-    pivot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("_of")) == 0
-    everywhere = F.sequence(F.lit(0), F.col("tasks") - 1)
-    placed = placed.withColumn("salts", F.when((F.col("tasks") > 1) & pivot, everywhere).otherwise(F.array(salt)))
-    sets = whole_sets(docs, group, width).join(placed, "node")
-    large = total.where("tasks > 1").count()
-    if large:
-        sets = save(sets, "sets")
-
-    def connect(key: list, node: tuple, role: tuple, data: tuple) -> pa.RecordBatch:
-        roots = local_roots(list(data), least)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(node), pa.int64()), pa.array(node, pa.int64()), pa.array([node[r] for r in roots], pa.int64())], names=["root", "node", "rep"])
-
-    dealt = sets.select("root", F.explode("salts").alias("salt"), "node", F.lit(0).alias("role"), "data")
-    links = save(grouped(dealt, ["root", "salt"], into, connect, "root long, node long, rep long"), "links")
-    roots = components(links.select(F.col("node").alias("a"), F.col("rep").alias("b")), "linked")
-    if not large:
-        return roots
-    # of the dealt groups: what is outside the largest part against all of the group
-    big = sets.where("tasks > 1").select(F.col("root").alias("grp"), "node", "tasks", "data")
-    part = save(big.select("grp", "node", "tasks").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
-    by_part = part.groupBy("grp", "part").agg(F.count("*").alias("n"))
-    most = by_part.groupBy("grp").agg(F.max(F.struct("n", "part")).alias("most"))
-    outside = part.join(most, "grp").where("part != most.part").select("grp", "node", "part", "tasks")
-    blocks = outside.groupBy("grp").agg(F.count("*").alias("out")).join(total.select(F.col("_root").alias("grp"), (F.col("_of") * PIVOTS).alias("have"), F.col("tasks").alias("t")), "grp")
-    blocks = blocks.select("grp", F.greatest(F.lit(1), F.ceil(F.col("out") * F.col("t") / F.col("have"))).cast("int").alias("blocks"))
-    data = big.join(part.select("node", "part"), "node").join(blocks, "grp")
-    index = data.select("grp", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("tasks").cast("long")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(0).alias("role"), "data", "part")
-    asks = data.join(outside.select("node"), "node", "left_semi")
-    asks = asks.select("grp", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks").cast("long")).cast("int").alias("block"), "node", F.lit(1).alias("role"), "data", "part")
-
-    def ask(key: list, node: tuple, role: tuple, data: tuple) -> pa.RecordBatch:
-        k = role.index(1) if 1 in role else len(role)
-        a, b = [], []
-        if 0 < k < len(role):
-            here = Index(list(data[:k]))
-            names = np.array(node[:k], np.int64)
-            for q, s in zip(node[k:], data[k:], strict=True):
-                for x in here.search(s, names != q, least).tolist():
-                    a.append(q)
-                    b.append(node[x])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    more = grouped(index.unionByName(asks), ["grp", "salt", "block"], into, ask, "a long, b long")
-    return components(links.select(F.col("node").alias("a"), F.col("rep").alias("b")).unionAll(more), "linked")
+    return graph.linked(group, whole_sets(docs, group, twice, width), "<u8", finder(least), limit, into)
 
 
-def join(docs: DataFrame, width: int = shingles.WIDTH, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row."""
+def linked_rows(docs: DataFrame, width: int, least: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows doc_id, hash, n, node; per node its root, the smallest id, the number ``n`` of its rows; and per root the smallest id and the number ``n`` of its nodes."""
     seen = save(describe(docs, width), "described")
     count = summed(seen.where("part is not null"))
-    members = seen.where("part is null").select("doc_id", "n", "node")
-    sizes = members.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    roots = node_roots(docs, sizes, count, width, least, limit)
-    rooted = members.where("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    rooted = save(rooted, "rooted")
-    least_id = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least_id, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    members = seen.where("part is null")
+    some = members.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("id"), F.min("other").alias("low"), F.max("other").alias("high"))
+    nodes = save(some, "nodes")
+    # among 10 ** 10 sets two or three share 64 bits
+    twice = frozenset(r["node"] for r in nodes.where("low != high").select("node").collect())
+    if twice:
+        members = members.withColumn("node", F.when(F.col("node").isin(*twice), F.col("other")).otherwise(F.col("node")))
+        nodes = save(members.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("id")), "nodes")
+    roots = node_roots(docs, nodes.select("node", "n"), count, twice, width, least, limit)
+    rooted = save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id", F.col("rows").alias("n")), "rooted")
+    groups = save(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "components")
+    return members.select("doc_id", "hash", "n", "node"), rooted, groups
+
+
+def join(docs: DataFrame, width: int = shingles.WIDTH, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row."""
+    members, rooted, groups = linked_rows(docs, width, least, limit)
+    known = save(spread_join(rooted, groups, "root", ["node"]).select("node", "component_id", "n"), "known")
+    rows = members.where("n > 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), "node")
+    out = spread_join(rows, known, "node", ["doc_id", "hash", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_of_each(docs: DataFrame, width: int = shingles.WIDTH, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
+    """The rows, with all their columns, but of linked documents the first one alone: by id (null ids last), then by a hash of its text."""
+    members, rooted, _ = linked_rows(docs, width, least, limit)
+    rows = members.where("n > 0").groupBy("node", "doc_id", "hash").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "hash")).alias("first")
+    # of each set its first row, then of each component its first set
+    best = rows.groupBy("node").agg(first).join(rooted, "node").groupBy("root").agg(F.min("first").alias("first"))
+    best = best.select("first.doc_id", "first.hash", F.lit(True).alias("stays"))
+    alike = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.hash") == F.col("b.hash"))
+    gone = rows.alias("r").join(best.alias("b"), alike, "left").select("r.doc_id", "r.hash", "copies", F.coalesce("stays", F.lit(False)).alias("stays"))
+    gone = save(gone.where("copies > 1 or not stays"), "gone")
+    bits = key_bits(gone, "hash")
+    # most rows stay, and where they are: only those that may go take part in the join
+    hashed = numbered(docs).withColumn("_hash", F.xxhash64(f"c{docs.columns.index('text')}"))
+    rest = map_batches(hashed, lambda b: [b.filter(pa.array(~Bits(bits).of(b.column("_hash"))))], hashed.schema)
+    at = F.col(f"c{docs.columns.index('doc_id')}")
+    maybe = maybe_in(hashed, "_hash", bits).join(gone.withColumnsRenamed({"doc_id": "_id", "hash": "_key"}), at.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    hashable = [f.name for f in hashed.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    one = F.row_number().over(Window.partitionBy(at, "_hash").orderBy(F.xxhash64(*hashable)))
+    kept = maybe.withColumn("_at", one).where("stays is null or (stays and _at = 1)")
+    return named(rest.unionByName(kept.select(*hashed.columns)), docs.columns)
