@@ -1,4 +1,4 @@
-"""Document fingerprints by randomised edit embedding.
+"""Document fingerprints by randomised edit embedding, and the groups of near texts that they show.
 
 A walk reads a text: at step j it stands on a character, notes it, and moves on if a random bit that all texts share for
 (j, character) is set. Texts at a small edit distance walk in step but for a few places, so edit
@@ -6,27 +6,34 @@ distance turns into Hamming distance between the notes. A fingerprint samples th
 ``SLOTS`` slots and has a random rank; a slot keeps a byte of the note at its lowest-ranked step that the text reaches.
 Texts of like length therefore sample the same steps, whatever the length.
 
-``near_links`` finds near texts: bands of sampled bits of the fingerprint meet in a join, and each
-candidate is verified by the likeness of the whole fingerprints.
+Groups of near texts: bands of bits, sampled from the fingerprints, make candidates; inside the components of those each
+fingerprint is searched for others of likeness LEAST or more, and the components of what is found are the groups. The bits of
+a band follow the logarithm of the number of texts, so that chance meetings stay as rare whatever that number is, and the number
+of bands follows from the bits: two texts of likeness LEAST share a band with probability RECALL, nearer ones with more.
 
-Edge cases: null counts as empty; an empty text's fingerprint is all zeros and its likeness to another empty one 1.
-Equal texts have equal fingerprints. Rows of equal id are ordered by their text; null ids come first. With a
-single row the next document is the row itself. Extra columns are neither read nor returned.
+Edge cases: null counts as empty; an empty text's fingerprint is all zeros, its likeness to another empty one 1, and its group its
+own id. Equal texts have equal fingerprints. Rows of equal id are ordered by a hash of their text; null ids come first. With a
+single row the next document is the row itself. Empty tables give empty ones. Ids may be of any type that Spark orders.
+Extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mix64, partitions
+from . import graph
+from .common import Bits, arrow_type, key_bits, map_batches, mix64, partitions, save, small, spread_join
 
 SLOTS, SEED = 128, 20_017
 #: The walk's random bits repeat after so many steps; characters are folded to so many kinds, the last of which never moves.
@@ -34,6 +41,12 @@ PERIOD, KINDS = 512, 4096
 STOP = KINDS - 1
 #: Below so many walks, a loop over steps beats a vector over walks.
 FEW = 24
+#: Near texts: the least likeness, the share of such pairs that meet in a band, and bits of a band beyond the logarithm of the number of texts.
+LEAST, RECALL, SPARE = 0.85, 0.95, 13
+#: Fingerprints of a candidate component that one task compares, and texts whose bands are compared before they leave a task.
+LIMIT, FLUSH = 1 << 13, 1 << 14
+#: Rows sampled for a range of ids.
+SAMPLED = 64
 #: Bytes of text walked over at a time, and rows turned into Python objects at a time.
 WORK_BYTES, ROWS = 3 << 20, 256
 
@@ -85,11 +98,13 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     lane = lane[size[lane] > 0]
     pos, end = start[lane], (start + size)[lane]
     bits, rows = moves()
-    # walks end long before 4 steps a character; the few that don't are followed to that step
-    at, slots = samples(1 << max(10, int(4 * size.max() + 64).bit_length()))
-    last = 4 * int(size.max()) + 64
     step, k = 0, 0
-    while len(lane) > FEW and step < last:
+    reach = 1 << max(10, int(4 * size.max() + 64).bit_length())
+    at, slots = samples(reach)  # few walks take 4 steps a character
+    while len(lane) > FEW:
+        if step >= reach:
+            reach *= 2
+            at, slots = samples(reach)
         for j in range(step, step + 64):
             kind = codes.take(pos)
             if k < len(at) and at[k] == j:
@@ -102,16 +117,20 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         if not on.all():
             lane, pos, end = lane[on], pos[on], end[on]
     for i, p, e in zip(lane.tolist(), pos.tolist(), end.tolist(), strict=True):
-        a, n = int(start[i]), k
+        a, n, ahead = int(start[i]), k, reach
         own, p, e, j = codes[a : e + 1].tolist(), p - a, e - a, step
-        while p < e and j < last:
-            stop = min(int(at[n]) if n < len(at) else last, j + 8192, last)
+        there, slot = at, slots
+        while p < e:
+            if j >= ahead:
+                ahead *= 2
+                there, slot = samples(ahead)
+            stop = min(int(there[n]) if n < len(there) else ahead, j + 8192, ahead)
             for j in range(j, stop):  # noqa: B020  goes on from where it is
                 p += rows[j % PERIOD][own[p]]
             j = stop
-            if n < len(at) and at[n] == j:
+            if n < len(there) and there[n] == j:
                 if p < e:
-                    out[i, slots[n]] = note(np.array([own[p]]), j)[0]
+                    out[i, slot[n]] = note(np.array([own[p]]), j)[0]
                 n += 1
                 p += rows[j % PERIOD][own[p]]
                 j += 1
@@ -129,43 +148,219 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_range(doc_id: Column, bounds: list) -> Column:
-    """How many of ``bounds`` (ascending) are below the id; found in two steps of about the root of their number."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text, which orders rows of equal id) and text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def ranges(rows: DataFrame) -> tuple[int, Column]:
+    """The number of ranges of (doc_id, h) with about as many rows each, and a row's range.
+
+    Ids that many rows share, or that they lack, fall into several ranges. The bounds come from about SAMPLED rows for a range,
+    chosen by a hash.
+    """
+    n = partitions(rows.sparkSession)
+    step = max(1, rows.count() // (SAMPLED * n))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "h", F.lit("range")), F.lit(step)) == 0).groupBy("doc_id", "h").agg(F.count("*").alias("n")).orderBy("doc_id", "h").collect()
+    bounds, seen, done, whole = [], 0, 0, sum(r["n"] for r in some)
+    for r in some:
+        if seen * n // whole > done:
+            done = seen * n // whole
+            bounds.append((r["doc_id"], r["h"]))
+        seen += r["n"]
     if not bounds:
-        return F.lit(0)
-    k = max(1, int(len(bounds) ** 0.5))
-    coarse = F.lit(np.array(bounds[::k]))
-    c = F.size(F.filter(coarse, lambda x: x < doc_id))
-    fine = F.slice(F.lit(np.array(bounds)), F.greatest((c - 1) * k + 1, F.lit(1)), F.lit(k))
-    return F.when(doc_id.isNull() | (c == 0), 0).otherwise((c - 1) * k + F.size(F.filter(fine, lambda x: x < doc_id)))
-
-
-def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, _range and _guest: ranges of ids, each followed by the first row of the next one (the last by the very first)."""
-    n = partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+        return 1, F.lit(0)
+    kind = rows.schema["doc_id"].dataType
+
+    def fixed(items: list[tuple]) -> Column:
+        return F.array(*[F.struct(F.lit(i).cast(kind).alias("doc_id"), F.lit(h).cast("long").alias("h")) for i, h in items])
+
+    # a row is in the range of the last bound that isn't above it; found in two steps of about the root of their number
+    here, k = F.struct("doc_id", "h"), max(1, int(len(bounds) ** 0.5))
+    c = F.size(F.filter(fixed(bounds[::k]), lambda x: x <= here))
+    fine = F.slice(fixed(bounds), F.greatest((c - 1) * k + 1, F.lit(1)), F.lit(k))
+    return len(bounds) + 1, F.when(c == 0, 0).otherwise((c - 1) * k + F.size(F.filter(fine, lambda x: x <= here)))
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` with compressed bytes for ``text``: whole texts go through a shuffle."""
+    at = rows.columns.index("text")
+
+    def run(b: pa.RecordBatch):
+        c = zstandard.ZstdCompressor(level=1)
+        raw = pa.array([c.compress(t) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:at], raw, *b.columns[at + 1 :]], names=b.schema.names)
+
+    return map_batches(rows, run, ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def with_next(docs: DataFrame, printed: DataFrame, links: DataFrame) -> DataFrame:
+    """Partitions of rows in order, each followed by the first row of the next one (the last by the very first); before a text, what links say of it.
+
+    doc_id, h, role (0: a link, 1: a text, 2: the row that follows), text (compressed) and near. ``printed`` has doc_id and h of all rows.
+    """
+    n, place = ranges(printed)
+    first = printed.groupBy(place.alias("range")).agg(F.min(F.struct("doc_id", "h")).alias("first")).orderBy("range").collect()
     kind = docs.schema["doc_id"].dataType
-    bounds = [int(b) if kind.typeName() in ("long", "integer", "short", "byte") else b for b in bounds]
-    rows = rows.withColumn("_range", in_range(F.col("doc_id"), bounds))
-    first = sorted((r["_range"], r["id"]) for r in rows.groupBy("_range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nil")).select("_range", F.when(~F.col("nil"), F.col("id")).alias("id")).collect())
-    guests = docs.sparkSession.createDataFrame([(first[i - 1][0], r[1]) for i, r in enumerate(first)], f"_to int, _id {kind.simpleString()}")
-    # one row per range
-    sent = rows.drop("_range").join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", F.col("_to").alias("_range"), F.lit(True).alias("_guest"))
-    both = rows.withColumn("_guest", F.lit(False)).unionByName(sent)
-    return both.repartitionById(max(1, len(bounds) + 1), F.col("_range")).sortWithinPartitions("_guest", "doc_id", "text"), len(bounds) + 1
-
-
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
+    starts = [(first[i - 1]["range"], r["first"]["doc_id"], r["first"]["h"]) for i, r in enumerate(first)]
+    guests = docs.sparkSession.createDataFrame(starts, f"range int, id {kind.simpleString()}, start long")
+    rows, none = keyed(docs), F.lit(None).cast(kind).alias("near")
+    # a row for each range
+    sent = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("start"))).groupBy("range", "doc_id", "h").agg(F.first("text").alias("text"))
+    every = squeezed(rows).select("doc_id", "h", F.lit(1).alias("role"), "text", none, place.alias("range"))
+    every = every.unionByName(squeezed(sent.select("range", "doc_id", "h", "text")).select("doc_id", "h", F.lit(2).alias("role"), "text", none, "range"))
+    every = every.unionByName(links.select("doc_id", "h", F.lit(0).alias("role"), F.lit(None).cast("binary").alias("text"), "near", place.alias("range")))
+    return every.repartitionById(n, F.col("range")).sortWithinPartitions(F.col("role") == 2, "doc_id", "h", "role").drop("range")
+
+
+def node_of(one: np.ndarray) -> int | None:
+    """The number that stands for a fingerprint; an empty text has none."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())))) if one.any() else None
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, h, node and print (bytes) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = None
 
-    def digest(ids: list, own: list[str]) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            text = [t or "" for t in b.column("text").to_pylist()]
+            found, at, size = [], 0, 0
+            for i, t in enumerate(text):
+                size += len(t) + 64
+                if size > WORK_BYTES:
+                    found.append(fingerprints(text[at : i + 1]))
+                    at, size = i + 1, 0
+            found = np.concatenate([*found, fingerprints(text[at:])])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(map(node_of, found), pa.int64()), pa.array([r.tobytes() for r in found], pa.binary())], names=["doc_id", "h", "node", "print"])
+
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, h long, node long, print binary")
+
+
+def full(found: np.ndarray) -> np.ndarray:
+    """Fingerprints without empty slots: those of short texts borrow from the next slot that isn't, mixed with the distance to it."""
+    out = found.copy()
+    rows = np.flatnonzero((out == 0).any(1))
+    for distance in range(1, SLOTS):
+        if not len(rows):
+            break
+        ahead = np.roll(found[rows], -distance, 1)
+        some = out[rows]
+        out[rows] = np.where((some == 0) & (ahead != 0), ahead * np.uint8(2 * (distance % 128) + 1) ^ np.uint8(distance), some)
+        rows = rows[(out[rows] == 0).any(1)]
+    return out
+
+
+def bands_for(texts: int, least: float = LEAST) -> tuple[int, int]:
+    """Bits of a band and number of bands for so many texts."""
+    bits = min(60, int(texts).bit_length() + SPARE)
+    # equal slots agree in all bits, others in half of them
+    together = ((1 + least) / 2) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - together))
+
+
+def band_keys(found: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """A row of keys for each fingerprint."""
+    rng, whole = np.random.default_rng(SEED + 1), full(found)
+    out = np.empty((len(found), bands), np.uint64)
+    for n in range(bands):
+        slot, bit = rng.choice(SLOTS, bits, replace=False), rng.integers(0, 8, bits).astype(np.uint8)
+        sampled = (whole[:, slot] >> bit & 1).astype(np.uint64) << np.arange(bits, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            out[:, n] = mix64(sampled.sum(1, dtype=np.uint64) + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def meetings(printed: DataFrame, bits: int, bands: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes which share a band."""
+
+    def flush(held: dict[int, bytes]) -> pa.RecordBatch:
+        node = np.array(list(held), np.int64)
+        keys = band_keys(np.frombuffer(b"".join(held.values()), np.uint8).reshape(-1, SLOTS), bits, bands).ravel()
+        who = np.repeat(node, bands)
+        by = np.argsort(keys, kind="stable")
+        keys, who = keys[by], who[by]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        head = who[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+        # of the nodes that meet here one alone stands for them elsewhere
+        key = np.where(first, keys.view(np.int64), mix64((who ^ head).view(np.uint64)).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(head, mask=first)], names=["key", "node", "head"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        for b in batches:
+            for n, d in zip(b.column("node").to_pylist(), b.column("print").to_pylist(), strict=True):
+                held[n] = d
+                if len(held) >= FLUSH:
+                    yield flush(held)
+                    held = {}
+        if held:
+            yield flush(held)
+
+    rows = printed.where("node is not null").select("node", "print").mapInArrow(run, "key long, node long, head long")
+    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
+    # a head goes with its own key, whose rows have none
+    return rows.select("node", F.coalesce("head", before).alias("b")).where("b is not null and node != b").select(F.col("node").alias("a"), "b")
+
+
+def near(least: float):
+    """For ``graph.linked``: of some fingerprints a search for those of likeness ``least`` or more."""
+
+    def index(items: list[np.ndarray]):
+        every = np.stack(items)
+        there = every != 0
+
+        def search(one: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(wanted)
+            same = ((every[at] == one) & there[at]).sum(1)
+            used = (there[at] | (one != 0)).sum(1)
+            return at[same >= least * used]
+
+        return search
+
+    return index
+
+
+def near_groups(printed: DataFrame, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
+    """node, near (the smallest id of its group) and n (its rows) of the nodes whose group has several rows. ``printed``: doc_id, node and print (saved)."""
+    into = partitions(printed.sparkSession)
+    nodes = save(printed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "print-nodes")
+    edges = meetings(printed, *bands_for(nodes.count(), least))
+    group = graph.components(edges, "bands")
+    group = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct()).withColumn("n", F.lit(1))
+    group = save(group, "print-groups")
+    packed = key_bits(group, "node")
+
+    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = Bits(packed), set()
+        for b in batches:
+            node = b.column("node")
+            rows = [i for i, (n, on) in enumerate(zip(node.to_pylist(), bits.of(node).tolist(), strict=True)) if on and n not in seen and not seen.add(n)]
+            yield b.take(pa.array(rows, pa.int64()))
+
+    data = printed.where("node is not null").select("node", F.col("print").alias("data")).mapInArrow(chosen, "node long, data binary")
+    roots = graph.linked(group, data, "u1", near(least), limit, into)
+    rooted = save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id", F.col("rows").alias("n")), "print-roots")
+    groups = rooted.groupBy("root").agg(F.min("id").alias("near"), F.count("*").alias("n"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    return save(spread_join(rooted.select("node", "root", F.col("n").alias("rows")), save(groups, "print-near"), "root", ["node"]).select("node", "near", F.col("rows").alias("n")), "print-known")
+
+
+def fingerprint(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and near_group of every row.
+
+    near_group: the smallest id of the texts that links of likeness ``least`` or more lead to, its own among them.
+    """
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), arrow_type(docs, "doc_id")
+    printed = save(prints(docs), "prints")
+    known = near_groups(printed, least)
+    links = spread_join(printed.select("doc_id", "h", "node"), known, "node", ["doc_id", "h"]).select("doc_id", "h", "near")
+
+    def digest(ids: list, own: list[str], group: list) -> pa.RecordBatch:
         """``own`` has one text more than ``ids``."""
         new = [edited(a, b) for a, b in zip(own, own[1:], strict=False)]
-        prints = fingerprints(own + new)
-        a, b = prints[: len(own)], prints[len(own) :]
+        found = fingerprints(own + new)
+        a, b = found[: len(own)], found[len(own) :]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, id_type),
@@ -175,65 +370,31 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 pa.array([r.tobytes().hex() for r in b], pa.string()),
                 pa.array(likeness(a[:-1], b)),
                 pa.array(likeness(a[:-1], a[1:])),
+                pa.array(group, id_type),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_group"],
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
-        ids, own, size, guest = [], [], 0, False
+        unpack, ids, own, group, size, guest, link = zstandard.ZstdDecompressor(), [], [], [], 0, False, None
         for b in batches:
-            id_type = b.schema.field("doc_id").type
             for k in range(0, b.num_rows, ROWS):
                 part = b.slice(k, ROWS)
-                for i, t, g in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("_guest").to_pylist(), strict=True):
-                    if guest:
+                for i, h, role, raw, near in zip(*(part.column(c).to_pylist() for c in ("doc_id", "h", "role", "text", "near")), strict=True):
+                    if role == 0:
+                        link = (i, h, near)
                         continue
-                    guest = g
-                    own.append(t or "")
+                    guest = role == 2
+                    own.append(unpack.decompress(raw).decode("utf-8", "surrogatepass"))
                     size += len(own[-1]) + 64
-                    if not g:
-                        ids.append(i)
-                    if size > WORK_BYTES and len(own) > 1 and not g:
-                        yield digest(ids[:-1], own)
-                        ids, own, size = ids[-1:], own[-1:], len(own[-1])
-        if ids and len(own) == len(ids) + 1:
-            yield digest(ids, own)
-
-    ranges, _ = with_next(docs)
-    return ranges.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-#: Rows of a band's block that are compared with all of the band in one task.
-BLOCK = 1024
-
-
-def near_links(prints: DataFrame, least: float = 0.6, bands: int = 24, bits: int = 24) -> DataFrame:
-    """Links doc_id, near_id (the smaller one), likeness between rows that share a band and have likeness ``least`` or more.
-
-    A band is ``bits`` sampled bits of the fingerprint. Rows of equal fingerprints link to their smallest id, which alone
-    stands for them in the bands; there every two are compared, in blocks of about BLOCK rows against all of the band. A band
-    that many different fingerprints share takes time by the square of their number: no head could stand for them.
-    """
-    rng = np.random.default_rng(SEED + 1)
-    picks = [sorted(rng.choice(SLOTS, bits // 8, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*[F.concat_ws("", F.lit(f"{n}:"), *[F.substring("fingerprint", 2 * s + 1, 2) for s in p]) for n, p in enumerate(picks)])
-    rows = prints.select("doc_id", "fingerprint").where("fingerprint rlike '[1-9a-f]'")
-    firsts = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(firsts, "fingerprint").where("doc_id != first").select("doc_id", F.col("first").alias("near_id"), F.lit(1.0).alias("likeness"))
-    banded = firsts.select("first", "fingerprint", F.explode(keys).alias("band"))
-    blocks = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = banded.join(blocks, "band")
-    block = F.pmod(F.xxhash64("first"), F.col("blocks").cast("long")).cast("int")
-    left = placed.select("band", block.alias("block"), F.col("first").alias("doc_id"), F.col("fingerprint").alias("a"))
-    right = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("first").alias("near_id"), F.col("fingerprint").alias("b"))
-    pairs = left.join(right, ["band", "block"]).where("near_id < doc_id")
-    slots = F.sequence(F.lit(1), F.lit(2 * SLOTS - 1), F.lit(2))
-
-    def byte(c: str, i: Column) -> Column:
-        return F.substr(F.col(c), i, F.lit(2))
-
-    same = F.size(F.filter(slots, lambda i: (byte("a", i) == byte("b", i)) & (byte("a", i) != "00")))
-    used = F.size(F.filter(slots, lambda i: (byte("a", i) != "00") | (byte("b", i) != "00")))
-    near = pairs.withColumn("likeness", same / used).where(F.col("likeness") >= least).select("doc_id", "near_id", "likeness")
-    return near.unionByName(copies).dropDuplicates(["doc_id", "near_id"])
+                    if guest:
+                        continue
+                    ids.append(i)
+                    group.append(link[2] if link and link[:2] == (i, h) else i)
+                    if size > WORK_BYTES and len(own) > 1:
+                        yield digest(ids[:-1], own, group[:-1])
+                        ids, own, group, size = ids[-1:], own[-1:], group[-1:], len(own[-1])
+        if ids and guest:
+            yield digest(ids, own, group)
+
+    return with_next(docs, printed, links).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group {kind}")

@@ -85,33 +85,102 @@ def test_fingerprint_rows(spark, make):
 def test_fingerprint_edges(spark, make):
     one = fingerprint.fingerprint(make((5, "alone here"))).first()
     assert one["near_next"] == 1.0
-    assert fingerprint.fingerprint(make((5, "x")).limit(0)).count() == 0
+    assert fingerprint.fingerprint(make((5, "x")).limit(0)).count() == 0 and one["near_group"] == 5
     assert fingerprint.fingerprint(make(*EDGES)).count() == len(EDGES)
 
 
-def test_fingerprint_links(spark, make):
-    base = prose(5, 400)
-    rows = [(1, base), (2, base), (3, base[:900] + "x" + base[901:]), (4, prose(6, 400)), (5, "")]
-    links = {(r["doc_id"], r["near_id"]) for r in fingerprint.near_links(fingerprint.fingerprint(make(*rows))).collect()}
-    assert (2, 1) in links and (3, 1) in links and not any(4 in x or 5 in x for x in links)
-
-
-def test_fingerprint_links_beyond_the_head(spark, monkeypatch):
-    """Rows that share much with each other: every near pair that shares a band is a link, whatever the band's smallest id is."""
-    monkeypatch.setattr(fingerprint, "BLOCK", 7)
-    r = np.random.default_rng(3)
-    # two notes a slot: likeness 0.5 between any rows, eight values of a band
-    shared = r.permuted(np.tile(np.arange(1, 256, dtype=np.uint8), (fingerprint.SLOTS, 1)), axis=1)[:, :2].T
-    prints = {}
-    for i in range(0, 60, 2):
-        own = np.where(r.random(fingerprint.SLOTS) < 0.5, *shared)
-        near = own.copy()
-        near[r.choice(fingerprint.SLOTS, 6, replace=False)] = r.integers(1, 256, 6)
-        prints |= {i: own, i + 1: near}
-    df = spark.createDataFrame([(k, v.tobytes().hex()) for k, v in prints.items()], "doc_id long, fingerprint string")
-    links = {(x["doc_id"], x["near_id"]) for x in fingerprint.near_links(df).collect()}
-    assert {(i + 1, i) for i in range(0, 60, 2)} <= links
-    assert all((prints[a] == prints[b]).mean() >= 0.6 for a, b in links)
+def likeness_by_hand(a, b):
+    used = sum(x > 0 or y > 0 for x, y in zip(a, b, strict=True))
+    return sum(x == y > 0 for x, y in zip(a, b, strict=True)) / used if used else 1.0
+
+
+def test_fingerprint_ids_of_any_type(spark):
+    """String ids, null ids and repeated ids, over several ranges: every row is followed by the next one by id, then by the text's hash."""
+    text = [prose(i, 5 + i % 40) for i in range(300)]
+    rows = [(None if i % 3 == 0 else "same" if i % 3 == 1 else f"id{i:03}", t) for i, t in enumerate(text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    order = [r["text"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(order, [*order[1:], order[0]], strict=True))
+    got = fingerprint.fingerprint(df).collect()
+    assert Counter(r["edited_sha256"] for r in got) == want
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+    for r in got[:40]:
+        own, new = bytes.fromhex(r["fingerprint"]), bytes.fromhex(r["edited_fingerprint"])
+        assert r["near_edited"] == pytest.approx(likeness_by_hand(own, new))
+    prints = {hashlib.sha256(t.encode()).hexdigest(): p for t, p in zip(order, fingerprint.fingerprints(order), strict=True)}
+    follows = dict(zip(order, [*order[1:], order[0]], strict=True))
+    by_print = {prints[hashlib.sha256(t.encode()).hexdigest()].tobytes().hex(): t for t in order}
+    for r in got[:40]:
+        t = by_print[r["fingerprint"]]
+        assert r["near_next"] == pytest.approx(likeness_by_hand(fingerprint.fingerprints([t])[0], fingerprint.fingerprints([follows[t]])[0]))
+
+
+def groups_by_hand(rows, least):
+    root = {k: k for k, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    prints = fingerprint.fingerprints([t or "" for _, t in rows])
+    pairs = 0
+    for i, (a, _) in enumerate(rows):
+        if not prints[i].any():
+            continue
+        near = np.flatnonzero(fingerprint.likeness(np.repeat(prints[i : i + 1], i, 0), prints[:i]) >= least)
+        pairs += len(near)
+        for j in near:
+            x, y = sorted((find(a), find(rows[j][0])))
+            root[y] = x
+    return {k: find(k) for k, _ in rows}, pairs
+
+
+@pytest.mark.parametrize("limit", [fingerprint.LIMIT, 8])
+def test_fingerprint_groups(spark, make, monkeypatch, limit):
+    """Against every pair's likeness: no group joins what no link joins, and at least nine in ten rows are in their whole group."""
+    monkeypatch.setattr(fingerprint, "LIMIT", limit)
+    monkeypatch.setattr(fingerprint, "FLUSH", 50)
+    monkeypatch.setattr(fingerprint.near_groups, "__defaults__", (fingerprint.LEAST, limit))
+    r, rows = random.Random(5), []
+    for i in range(25):
+        base = prose(400 + i, 30 + 12 * i)
+        for _ in range(7):
+            at = r.randrange(len(base))
+            rows.append((len(rows), base if r.random() < 0.3 else base[:at] + r.choice("xyz") + base[at + 1 :]))
+    rows += [(500, None), (501, ""), (502, "ab"), (503, "ab"), (504, "q"), (505, prose(400, 30))]
+    want, pairs = groups_by_hand(rows, fingerprint.LEAST)
+    got = by_id(fingerprint.fingerprint(make(*rows)), "near_group")
+    assert pairs > 100 and got[500] == 500 and got[501] == 501 and got[503] == 502
+    assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+    for g in set(got.values()):
+        assert len({want[k] for k in got if got[k] == g}) == 1
+
+
+def test_fingerprint_recall(spark, sf):
+    """The share of near pairs of the whole table that bands and verification bring together."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = by_id(fingerprint.fingerprint(spark.read.parquet(f"{sf}/documents.parquet")), "near_group")
+    prints = fingerprint.fingerprints([t or "" for _, t in docs])
+    met = every = 0
+    for i, (a, t) in enumerate(docs):
+        for j in np.flatnonzero(fingerprint.likeness(np.repeat(prints[i : i + 1], i, 0), prints[:i]) >= fingerprint.LEAST) if t else ():
+            every += 1
+            met += got[a] == got[docs[j][0]]
+    assert every and met >= 0.9 * every
+
+
+def test_fingerprint_bands():
+    """Bits of bands grow with the table, and the number of bands with the bits: a pair of the least likeness meets with the same probability."""
+    last = 0
+    for n in (10, 10**4, 10**6, 10**9, 10**12):
+        bits, bands = fingerprint.bands_for(n)
+        assert bits >= last and 1 - (1 - ((1 + fingerprint.LEAST) / 2) ** bits) ** bands >= fingerprint.RECALL
+        last = bits
+    some = np.zeros((3, fingerprint.SLOTS), np.uint8)
+    some[0, 5], some[1] = 9, 7
+    whole = fingerprint.full(some)
+    assert (whole[0] > 0).sum() > 100 and (whole[1] == 7).all() and not whole[2].any()
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------
