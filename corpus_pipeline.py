@@ -1,14 +1,13 @@
 """A corpus pipeline of five stages over ``documents``; each stage works on all that the one before it kept.
 
-Edge cases: rows that share an id count as one document after the near-duplicate stage (the first by text stays; rows without an
-id all stay). Documents without words pass the near-duplicate stage, and have nothing that the mix could take.
+Edge cases: rows that share an id, or have none, are documents of their own: each stage tells them apart by their texts. Rows with
+equal id and text are copies, of which the near-duplicate stage keeps one. Null texts, and texts without words, pass the first three stages
+as they are and have nothing that the mix could take. Empty tables give empty ones, and columns may be called anything.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from burrow.llm import line_dedup, mixing, near_join, packing, quality
 from burrow.llm.common import save, table
@@ -23,27 +22,18 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: repeated chunks of lines go, ``n_chars`` follows; documents that consist of them go as a whole."""
-    out = line_dedup.dedup(docs).where("n_removed = 0 or text != ''").drop("n_lines", "n_removed")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Line dedup: repeated chunks of lines go, ``n_chars`` follows where any did; documents that consist of them go as a whole."""
+    return line_dedup.dedup_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
-    first = near_join.join(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    at = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return kept.withColumn("_at", at).where("_at = 1 or doc_id is null").select(*docs.columns)
+    """N-gram Jaccard join: of each group of linked documents the first one (by id, then by text) stays."""
+    return near_join.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: documents appear as often as the mix takes them."""
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    planned = mixing.plan(sized.select("doc_id", "source", F.col("_size").alias("size")), F.array("source"))
-    taken = mixing.assign(docs, F.array("source"), planned).where("_mix.copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
