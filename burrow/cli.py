@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
+from pyspark.errors import PythonException
 from pyspark.sql import SparkSession
 
 from .functions import columns as C
@@ -75,12 +77,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("\n".join(S.tree_lines(S.build_tree(rows, found.archive, size, report["root_format"]))))
     if a.extract or a.command:
         strip = int(a.strip_components) if a.strip_components.isdigit() else 0
-        done = S.extract(loader.entries(), a.directory, virtual, strip, a.preserve_permissions or a.preserve_all, a.command)
-        for r in done.toLocalIterator():
-            if r["warning"]:
-                print(f"burrow: warning: {r['warning']}", file=sys.stderr)
-            elif a.verbose:
-                print(r["written"])
+        every = a.preserve_all
+        done = S.extract(loader.entries(), a.directory, virtual, strip, a.preserve_permissions or every, a.command, a.preserve_resource_fork or every, a.preserve_attributes or every)
+        try:
+            for r in done.toLocalIterator():
+                if r["warning"]:
+                    print(f"burrow: warning: {r['warning']}", file=sys.stderr)
+                if a.verbose and r["written"]:
+                    print(r["written"])
+        except PythonException as e:
+            why = re.search(r"OSError: (.*)", str(e))
+            print(f"burrow: {why[1] if why else e}", file=sys.stderr)
+            return 1
     rest = [d for d in report["diagnostics"] if d["code"] not in C.ROOT_CODES]
     for d in rest[:5]:
         print(f"burrow: warning: [{d['code']}] {d['path']}: {d['message']}", file=sys.stderr)

@@ -1,4 +1,4 @@
-"""LHA's static Huffman coders (lh4 to lh7)."""
+"""LHA's coders: static Huffman codes (lh4 to lh7), an adaptive one (lh1), and rings without a code (lzs, lz5)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from .huffman import Bits, Code
 
 #: Bits of the dictionary by method.
 WINDOWS = {b"-lh4-": 12, b"-lh5-": 13, b"-lh6-": 15, b"-lh7-": 16}
+METHODS = (*WINDOWS, b"-lh1-", b"-lzs-", b"-lz5-")
 
 
 def _short_code(bits: Bits, width: int, gap: int) -> Code:
@@ -42,7 +43,154 @@ def _main_code(bits: Bits, short: Code) -> Code:
     return Code(out)
 
 
+class Adaptive:
+    """A Huffman code that follows the symbols read: nodes in the order of their weights, the root last.
+
+    A symbol's node and all above it gain one each; a node first changes places with the last one of its weight, so that
+    the order stays.
+    """
+
+    #: Fixed value: at this weight of the root all are halved.
+    MOST = 0x8000
+
+    def __init__(self, symbols: int):
+        self.n = symbols
+        self.leaf = list(range(symbols))  # place of each symbol
+        self.weight = [1] * symbols + [0] * (symbols - 1)
+        self.child = [~s for s in range(symbols)] + [0] * (symbols - 1)  # of a leaf ~symbol, else the first of two places
+        self.parent = [0] * (2 * symbols - 1)
+        for k, at in zip(range(0, 2 * symbols - 2, 2), range(symbols, 2 * symbols - 1), strict=True):
+            self.weight[at], self.child[at] = self.weight[k] + self.weight[k + 1], k
+            self.parent[k] = self.parent[k + 1] = at
+
+    def settle(self, at: int) -> None:
+        """Tells what hangs on a place where it hangs."""
+        c = self.child[at]
+        if c < 0:
+            self.leaf[~c] = at
+        else:
+            self.parent[c] = self.parent[c + 1] = at
+
+    def halve(self) -> None:
+        leaves = [((w + 1) // 2, c) for w, c in zip(self.weight, self.child, strict=True) if c < 0]
+        rows, k = list(leaves), 0
+        while len(rows) < 2 * self.n - 1:
+            # the two lightest nodes not yet taken stand next to each other
+            w = rows[k][0] + rows[k + 1][0]
+            at = len(rows)
+            while at > k + 2 and rows[at - 1][0] > w:
+                at -= 1
+            rows.insert(at, (w, k))
+            k += 2
+        self.weight, self.child = [w for w, _ in rows], [c for _, c in rows]
+        for at in range(len(rows)):
+            self.settle(at)
+
+    def read(self, bits: Bits) -> int:
+        at = 2 * self.n - 2
+        while (c := self.child[at]) >= 0:
+            at = c + bits.take(1)
+        self.grow(~c)
+        return ~c
+
+    def grow(self, symbol: int) -> None:
+        root = 2 * self.n - 2
+        if self.weight[root] == self.MOST:
+            self.halve()
+        at = self.leaf[symbol]
+        while True:
+            w, last = self.weight[at], at
+            while last < root and self.weight[last + 1] == w:
+                last += 1
+            if last != at:
+                self.child[at], self.child[last] = self.child[last], self.child[at]
+                self.settle(at)
+                self.settle(last)
+                at = last
+            self.weight[at] += 1
+            if at == root:
+                return
+            at = self.parent[at]
+
+
+#: Fixed values of lh1: the number of codes of each length for a distance's high six bits.
+PLACES = {3: 1, 4: 3, 5: 8, 6: 12, 7: 24, 8: 16}
+
+
+def unpack_adaptive(raw: bytes, size: int) -> bytes:
+    bits, out, code = Bits(raw), bytearray(), Adaptive(314)
+    place = Code([n for n, k in PLACES.items() for _ in range(k)])
+    while len(out) < size:
+        c = code.read(bits)
+        if c < 256:
+            out.append(c)
+            continue
+        back = (place.read(bits) << 6 | bits.take(6)) + 1
+        for _ in range(c - 253):
+            out.append(out[-back] if back <= len(out) else 0x20)
+    return bytes(out[:size])
+
+
+def unpack_ring(raw: bytes, size: int, ring: bytes, start: int, steps) -> bytes:
+    """``steps``: (byte, 0), or (length, place + 1) for bytes that stand in the ring, which is written from ``start`` on."""
+    room, out = bytearray(ring), bytearray()
+    at = start
+    for n, place in steps:
+        for k in range(n if place else 1):
+            b = room[(place - 1 + k) % len(room)] if place else n
+            out.append(b)
+            room[at] = b
+            at = (at + 1) % len(room)
+        if len(out) >= size:
+            break
+    return bytes(out[:size])
+
+
+def unpack_lzs(raw: bytes, size: int) -> bytes:
+    bits = Bits(raw)
+
+    def steps():
+        while True:
+            if bits.take(1):
+                yield bits.take(8), 0
+            else:
+                place = bits.take(11)
+                yield bits.take(4) + 2, place + 1
+
+    return unpack_ring(raw, size, b" " * 2048, 2048 - 17, steps()) if size else b""
+
+
+def unpack_lz5(raw: bytes, size: int) -> bytes:
+    # what the ring holds at first: runs of each byte, all bytes up and down, zeros and blanks
+    ring = b"".join(bytes([b]) * 13 for b in range(256)) + bytes(range(256)) + bytes(range(255, -1, -1)) + bytes(128) + b" " * 110
+    ring = ring.ljust(4096, b"\0")
+
+    def steps():
+        k = 0
+        while k < len(raw):
+            flags, k = raw[k], k + 1
+            for i in range(8):
+                if flags >> i & 1:
+                    if k >= len(raw):
+                        return
+                    yield raw[k], 0
+                    k += 1
+                else:
+                    if k + 1 >= len(raw):
+                        return
+                    yield (raw[k + 1] & 15) + 3, (raw[k] | raw[k + 1] >> 4 << 8) + 1
+                    k += 2
+
+    out = unpack_ring(raw, size, ring, 4096 - 18, steps()) if size else b""
+    if len(out) < size:
+        raise DecompressionError("LHA: the data end early")
+    return out
+
+
 def unpack(raw: bytes, method: bytes, size: int) -> bytes:
+    other = {b"-lh1-": unpack_adaptive, b"-lzs-": unpack_lzs, b"-lz5-": unpack_lz5}.get(method)
+    if other:
+        return other(raw, size)
     window = WINDOWS[method]
     bits, out, left = Bits(raw), bytearray(), 0
     main = place = Code([], 0)

@@ -66,7 +66,7 @@ def open_lha(d: bytes, ctx: Context) -> Opened:
         raw = d[first:at]
         if method in STORED:
             data = raw
-        elif method in lzh.WINDOWS:
+        elif method in lzh.METHODS:
             data = lzh.unpack(raw, method, size)
         else:
             raise Unsupported(f"LHA method {text(method)}")

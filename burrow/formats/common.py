@@ -11,13 +11,28 @@ import zlib
 from ..errors import DecompressionError, InvalidFormat
 from ..functions.paths import clean_archive_path, stem
 from ..schema import MAX_ENTRY_BYTES
-from .base import Context, Item, Meta, Opened, inflate, raw_siblings
+from .base import Context, Item, Meta, Opened, inflate, le, raw_siblings
 
 
 def is_zip(d: bytes) -> bool:
     return d[:4] == b"PK\x03\x04"
 
 
+#: Fixed value: the method of an XZ stream.
+ZIP_XZ = 95
+
+
+def _zip_xz(d: bytes, e: zipfile.ZipInfo) -> bytes:
+    """An entry that Python's module doesn't unpack: an XZ stream behind its local header."""
+    at = e.header_offset
+    first = at + 30 + le(d, at + 26, 2) + le(d, at + 28, 2)
+    z = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    out = z.decompress(d[first : first + e.compress_size], e.file_size + 1)
+    if len(out) != e.file_size or zlib.crc32(out) != e.CRC:
+        raise InvalidFormat(f"ZIP: {e.filename} is damaged")
+    return out
+
+
 def open_zip(d: bytes, ctx: Context) -> Opened:
     """By raw name; a bad entry fails the archive as a whole."""
     rows = []
@@ -28,10 +43,13 @@ def open_zip(d: bytes, ctx: Context) -> Opened:
                     continue
                 if e.flag_bits & 1:
                     raise InvalidFormat(f"{e.filename} is encrypted")
-                if e.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_LZMA):
+                if e.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_LZMA, ZIP_XZ):
                     raise InvalidFormat(f"{e.filename} has compression method {e.compress_type}")
                 if e.file_size > MAX_ENTRY_BYTES:
                     raise DecompressionError(f"{e.filename}: more than {MAX_ENTRY_BYTES} bytes")
+                if e.compress_type == ZIP_XZ:
+                    rows.append((e.filename, _zip_xz(d, e), Meta("compressed")))
+                    continue
                 kind = {zipfile.ZIP_STORED: None, zipfile.ZIP_DEFLATED: "deflate"}.get(e.compress_type, "compressed")
                 rows.append((e.filename, z.read(e), Meta(kind) if kind else None))
     except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, NotImplementedError, RuntimeError, EOFError, OSError, ValueError, UnicodeDecodeError) as e:

@@ -1,15 +1,18 @@
-"""RAR 4 and RAR 5 archives: headers of both, and stored entries.
+"""RAR 4 and RAR 5 archives: headers of both, stored and compressed entries.
 
-Compressed entries need coders that this package hasn't got; such an archive is a diagnostic, never wrong bytes.
+What the coders don't know (PPMd blocks, programs other than the usual filters, versions before 2.9) makes the archive a
+diagnostic, never wrong bytes.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from ..errors import InvalidFormat, Unsupported
+from ..codecs.rar import Rar5, Rar29
+from ..errors import DecompressionError, InvalidFormat, Unsupported
 from ..functions.paths import clean_archive_path
-from .base import Context, Item, Opened, le, raw_siblings, text
+from ..schema import MAX_ENTRY_BYTES
+from .base import Context, Item, Meta, Opened, le, raw_siblings, text
 
 RAR4, RAR5 = b"Rar!\x1a\x07\x00", b"Rar!\x1a\x07\x01\x00"
 #: The greatest ratio of sizes, and the packed size from which it counts.
@@ -20,19 +23,29 @@ def is_rar(d: bytes) -> bool:
     return d.startswith(RAR4) or d.startswith(RAR5)
 
 
-def _entry(name: str, raw: bytes, size: int, stored: bool) -> tuple[str, bytes]:
-    if len(raw) >= RATIO_FROM and size // len(raw) > RATIO:
-        raise InvalidFormat(f"RAR entry '{name}' compression ratio ({size / len(raw):.0f}:1) exceeds safety limit ({RATIO}:1)")
-    if not stored:
-        raise Unsupported(f"RAR: '{name}' is compressed")
-    return name, raw
+#: Names of the methods from 1 on.
+METHODS = ("fastest", "fast", "normal", "good", "best")
 
 
-def _rar4(d: bytes) -> list[tuple[str, bytes]]:
+def _entry(name: str, raw: bytes, size: int, method: int, unpack) -> tuple[str, bytes, Meta | None]:
+    if len(raw) >= RATIO_FROM and size // len(raw) > RATIO:
+        raise InvalidFormat(f"RAR entry '{name}' compression ratio ({size / len(raw):.0f}:1) exceeds safety limit ({RATIO}:1)")
+    if not method:
+        return name, raw, None
+    if size > MAX_ENTRY_BYTES:
+        raise DecompressionError(f"{name}: more than {MAX_ENTRY_BYTES} bytes")
+    try:
+        data = unpack()
+    except (DecompressionError, Unsupported) as e:
+        raise type(e)(f"RAR decompression error for '{name}': {e}") from e
+    return name, data, Meta(METHODS[method - 1] if method <= len(METHODS) else "unknown")
+
+
+def _rar4(d: bytes) -> list[tuple[str, bytes, Meta | None]]:
     """A cut-off archive keeps what comes before the cut."""
     if len(d) < 14 or d[9] != 0x73:
         raise InvalidFormat("Invalid RAR4 archive header")
-    at, rows = 7 + le(d, 12, 2), []
+    at, rows, decoder, solid = 7 + le(d, 12, 2), [], Rar29(), bool(le(d, 10, 2) & 8)
     while at + 7 <= len(d):
         kind, flags, head = d[at + 2], le(d, at + 3, 2), le(d, at + 5, 2)
         if kind == 0x7B or head < 7:
@@ -54,7 +67,14 @@ def _rar4(d: bytes) -> list[tuple[str, bytes]]:
             break
         folder = name.endswith("/") or (attributes & 0x10 if system in (0, 2) else attributes & 0o170000 == 0o040000 if system == 3 else not size and not packed)
         if not (folder or flags & 0x04 or flags & 0x01):
-            rows.append(_entry(name, d[first:at], size, method == 0x30))
+            version = d[first - head + 24]
+
+            def unpack(raw: bytes = d[first:at], size: int = size, version: int = version) -> bytes:
+                if version not in (0, 29, 36):
+                    raise Unsupported(f"version {version}")
+                return decoder.unpack(raw, size, solid)
+
+            rows.append(_entry(name, d[first:at], size, max(0, method - 0x30), unpack))
     return rows
 
 
@@ -81,11 +101,11 @@ def _block(d: bytes, at: int) -> tuple[int, int, int, int, int, int]:
     return kind, flags, extra, data, k, end
 
 
-def _rar5(d: bytes) -> list[tuple[str, bytes]]:
+def _rar5(d: bytes) -> list[tuple[str, bytes, Meta | None]]:
     kind, _, _, data, _, end = _block(d, 8)
     if kind != 1:
         raise InvalidFormat("Invalid RAR5 archive header")
-    at, rows = end + data, []
+    at, rows, decoder = end + data, [], Rar5(0)
     while at + 7 <= len(d):
         kind, flags, extra, packed, k, end = _block(d, at)
         if kind == 5:
@@ -113,7 +133,16 @@ def _rar5(d: bytes) -> list[tuple[str, bytes]]:
         if end + packed > len(d):
             break
         if not (file_flags & 1 or locked or flags & 8):
-            rows.append(_entry(name, d[end : end + packed], size, not packing >> 7 & 7))
+            solid = bool(packing & 0x40)
+            if not solid and packing >> 7 & 7:
+                decoder = Rar5(128 << 10 << (packing >> 10 & 15))
+
+            def unpack(raw: bytes = d[end : end + packed], size: int = size, solid: bool = solid, decoder: Rar5 = decoder, version: int = packing & 63) -> bytes:
+                if version:
+                    raise Unsupported(f"version {version}")
+                return decoder.unpack(raw, size, solid)
+
+            rows.append(_entry(name, d[end : end + packed], size, packing >> 7 & 7, unpack))
         at = end + packed
     return rows
 
@@ -121,4 +150,4 @@ def _rar5(d: bytes) -> list[tuple[str, bytes]]:
 def open_rar(d: bytes, ctx: Context) -> Opened:
     rows = _rar5(d) if d.startswith(RAR5) else _rar4(d)
     rows.sort(key=lambda r: r[0])
-    return Opened([Item(clean_archive_path(k), x) for k, x in rows], len(rows), raw_siblings(rows))
+    return Opened([Item(clean_archive_path(k), x, m) for k, x, m in rows], len(rows), raw_siblings([(k, x) for k, x, _ in rows]))

@@ -71,6 +71,10 @@ class Loader:
         """Accepted for callers' sake: Spark reads files its own way."""
         return self
 
+    def with_first(self) -> Loader:
+        """The first entry of each root (of each file of a folder) alone; what comes after it isn't decoded."""
+        return self._with(first=True)
+
     def without_data(self) -> Loader:
         return self._with(include_data=False)
 
@@ -122,7 +126,7 @@ def _fail_or_warn(report: Row) -> None:
 
 def open(path: str, *, max_depth: int = MAX_DEPTH) -> io.BytesIO:  # noqa: A001
     """The first leaf as a file object with ``path`` and ``metadata``."""
-    row = W.ordered(Loader(path=path).with_max_depth(max_depth).entries()).limit(1).collect()
+    row = W.ordered(Loader(path=path).with_max_depth(max_depth).with_first().entries()).limit(1).collect()
     if not row:
         raise FileNotFoundError(path)
     out = EntryFile(bytes(row[0]["data"] or b""))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
+import sys
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.paths import os_type
-from ..schema import BY_VARIANT
-
-MOST_COPIES = 10_000
+from ..functions.paths import FORK, os_type
+from ..schema import BY_VARIANT, MAX_INT
+from ..scratch import delete_at_exit
 
 
 def safe_output(c: str | Column) -> Column:
@@ -39,8 +41,8 @@ def output_paths(entries: DataFrame, virtual: str, strip: int = 0) -> DataFrame:
     return out.where("relative != ''").withColumn("target", safe_output("relative"))
 
 
-def unique_name(path: str, taken: set[str]) -> str:
-    """With .2, .3 and so on before the extension, the first that isn't taken."""
+def unique_name(path: str, taken: set[str], tried: dict[str, int] | None = None) -> str:
+    """With .2, .3 and so on before the extension, the first that isn't taken. ``tried``: the last number of each path, so that many copies don't count anew."""
     if path not in taken:
         return path
     stem, dot, ext = path.rpartition(".")
@@ -48,29 +50,58 @@ def unique_name(path: str, taken: set[str]) -> str:
         stem, ext = path, ""
     else:
         ext = "." + ext
-    for n in range(2, MOST_COPIES):
+    n = tried.get(path, 1) if tried is not None else 1
+    while True:
+        n += 1
         if (new := f"{stem}.{n}{ext}") not in taken:
+            if tried is not None:
+                tried[path] = n
             return new
-    raise ValueError(f"too many entries are called {path}")
 
 
-def unique_paths(rows: DataFrame, path: str = "path") -> DataFrame:
-    """root_path, ordinal, path and ``output``: names that are unique within a root, in visiting order.
+def name_family(path: str | Column) -> Column:
+    """What names have in common that could take each other's place: the name without its numbers between dots."""
+    return F.regexp_replace(C.col(path), r"\.[0-9]+(?=(\.[^/]*)?$)", "")
+
 
-    A name may be taken by an entry that has the suffix in its own name, so this is a fold over a root's names (not bytes).
+def folded(rows: DataFrame, within: list[str], step, schema: str) -> DataFrame:
+    """``step(row, unique name or null)`` for rows in visiting order; names (``to``) are unique among equal ``within``.
+
+    Only a family of names is brought together, not a root or a run, and never bytes.
     """
+    columns = rows.columns
 
-    def run(t: pa.Table) -> pa.Table:
-        order = sorted(range(t.num_rows), key=lambda i: t.column("ordinal")[i].as_py())
-        t = t.take(pa.array(order, pa.int64()))
-        taken: set[str] = set()
-        out = []
-        for p in t.column("path").to_pylist():
-            out.append(unique_name(p, taken))
-            taken.add(out[-1])
-        return pa.table({"root_path": t.column("root_path"), "ordinal": t.column("ordinal").cast(pa.list_(pa.int32())), "path": t.column("path"), "output": pa.array(out, pa.string())})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, tried = None, set(), {}
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                key = (*(r[k] for k in within), r["_family"])
+                if key != now:
+                    now, taken, tried = key, set(), {}
+                name = None
+                if r["to"] is not None:
+                    name = unique_name(r["to"], taken, tried)
+                    taken.add(name)
+                out.append(step(r, name))
+            yield pa.RecordBatch.from_pylist(out, ARROW[schema])
+
+    keyed = rows.withColumn("_family", F.coalesce(name_family("to"), F.concat(F.lit("/"), F.xxhash64("path").cast("string"))))
+    return keyed.repartition(*within, "_family").sortWithinPartitions(*within, "_family", "root_path", "ordinal").select(*columns, "_family").mapInArrow(run, schema)
+
+
+NAMED = "root_path string, ordinal array<int>, path string, output string"
+DONE = "path string, written string, warning string"
+ARROW = {
+    NAMED: pa.schema([("root_path", pa.string()), ("ordinal", pa.list_(pa.int32())), ("path", pa.string()), ("output", pa.string())]),
+    DONE: pa.schema([("path", pa.string()), ("written", pa.string()), ("warning", pa.string())]),
+}
 
-    return rows.select("root_path", "ordinal", F.col(path).alias("path")).groupBy("root_path").applyInArrow(run, "root_path string, ordinal array<int>, path string, output string")
+
+def unique_paths(rows: DataFrame, path: str = "path", run_wide: bool = False) -> DataFrame:
+    """root_path, ordinal, path and ``output``: names that are unique within a root (or within the whole run), in visiting order."""
+    found = rows.select("root_path", "ordinal", F.col(path).alias("path"), F.col(path).alias("to"))
+    return folded(found, [] if run_wide else ["root_path"], lambda r, name: {"root_path": r["root_path"], "ordinal": r["ordinal"], "path": r["path"], "output": name}, NAMED)
 
 
 def tsv(entries: DataFrame, virtual: str = "") -> DataFrame:
@@ -167,39 +198,139 @@ def json_tree(rows: Iterable[Row], root: str, size: int, kind: str | None) -> st
     return text(top, 0)
 
 
-def extract(entries: DataFrame, folder: str, virtual: str = "", strip: int = 0, permissions: bool = False, command: str | None = None) -> DataFrame:
+def listings(events: DataFrame, sizes: DataFrame, kind: str = "tree") -> DataFrame:
+    """root_path and ``text``: the tree (or the JSON) of each root that opens. ``sizes``: root_path and size. Names of one root are brought together, not bytes."""
+    opened = events.where("kind = 'root'").select("root_path", F.col("container_format").alias("root_format"))
+    rows = events.where("kind = 'entry'").select("root_path", "ordinal", "path", "container_path", "container_format", "size", "metadata")
+    every = opened.join(sizes.select("root_path", F.col("size").alias("root_size")), "root_path").join(rows, "root_path", "left")
+
+    def run(t: pa.Table) -> pa.Table:
+        found = sorted(t.to_pylist(), key=lambda r: r["ordinal"] or [])
+        root, size, format_ = (found[0][k] for k in ("root_path", "root_size", "root_format"))
+        some = [r for r in found if r["path"] is not None]
+        text = json_tree(some, root, size, format_) if kind == "json" else "\n".join(tree_lines(build_tree(some, root, size, format_)))
+        return pa.table({"root_path": pa.array([root], pa.string()), "text": pa.array([text], pa.string())})
+
+    return every.groupBy("root_path").applyInArrow(run, "root_path string, text string")
+
+
+def write_resource_fork(path: str, data: bytes) -> None:
+    if sys.platform != "darwin":
+        raise OSError(f"{path}: resource forks are only supported on macOS")
+    with open(f"{path}/{FORK}", "wb") as f:
+        f.write(data)
+
+
+def set_finder_info(path: str, type_code: bytes, creator_code: bytes) -> None:
+    if sys.platform != "darwin":
+        raise OSError(f"{path}: Finder info is only supported on macOS")
+    info = (type_code + creator_code).ljust(32, b"\0").hex()
+    subprocess.run(["xattr", "-wx", "com.apple.FinderInfo", info, path], check=True, capture_output=True)
+
+
+def piped(rows: DataFrame, command: str) -> DataFrame:
+    """Each entry's bytes to a shell command (``{}``: the quoted path), in the task that decodes it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                path, to, reason, data = (b.column(c)[i].as_py() for c in ("path", "to", "reason", "data"))
+                warning = f"{path}: {reason}" if to is None else None
+                if to is not None:
+                    quoted = "'" + to.replace("'", "'\"'\"'") + "'"
+                    done = subprocess.run(["sh", "-c", command.replace("{}", quoted)], input=data or b"", check=False)
+                    warning = f"exec failed for '{to}': Command exited with status: {done.returncode}" if done.returncode else None
+                out.append({"path": path, "written": to, "warning": warning})
+            yield pa.RecordBatch.from_pylist(out, ARROW[DONE])
+
+    return rows.select("path", "to", "reason", "data").mapInArrow(run, DONE)
+
+
+def extract(
+    entries: DataFrame, folder: str, virtual: str = "", strip: int = 0, permissions: bool = False, command: str | None = None, resource_forks: bool = False, attributes: bool = False
+) -> DataFrame:
     """Writes leaves below a folder that all executors see; rows (path, written, warning), one per entry.
 
-    With ``command`` (``{}``: the quoted path) the bytes go to a shell command instead: only for callers who ask for it. Each root's files are written by one
-    task, so that their names are unique without a lock.
-    """
-    named = output_paths(entries, virtual, strip)
+    The tasks that decode entries write their bytes, under names that nothing else has, to a folder inside ``folder``; then names
+    that are unique over the whole run, whatever the number of roots, are found from names alone, and the files are moved there. Both
+    steps may be repeated by tasks that start anew. The first happens right away, the second when the rows are asked for.
 
-    def run(t: pa.Table) -> pa.Table:
-        taken: set[str] = set()
-        rows = sorted(t.to_pylist(), key=lambda r: r["ordinal"])
-        out = []
-        for r in rows:
-            rel, why = r["target"]["path"], r["target"]["reason"]
-            if rel is None:
-                out.append((r["path"], None, f"{r['path']}: {why}"))
-                continue
-            rel = unique_name(rel, taken)
-            taken.add(rel)
-            warning = None
-            if command is not None:
-                quoted = "'" + rel.replace("'", "'\"'\"'") + "'"
-                done = subprocess.run(["sh", "-c", command.replace("{}", quoted)], input=r["data"] or b"", check=False)
-                warning = f"{rel}: Command exited with status: {done.returncode}" if done.returncode else None
-            else:
-                to = os.path.join(folder, rel)
+    With ``command`` the bytes go to a shell command instead: only for callers who ask for it. ``resource_forks`` writes raw forks with their files and
+    fails where the system has none; without it they are left out (their resources are entries of their own).
+    """
+    raw_fork = F.col("relative") == FORK
+    raw_fork = raw_fork | F.endswith("relative", F.lit(f"/{FORK}"))
+    named = output_paths(entries, virtual, strip).withColumn("fork", raw_fork)
+    meta = [C.mode_bits("metadata.mode").alias("bits"), "metadata.type_code", "metadata.creator_code"]
+    rows = named.select("root_path", "ordinal", "path", F.col("target.path").alias("to"), F.col("target.reason").alias("reason"), "data", *meta, "fork", "container_format")
+    if command is not None:
+        return piped(rows.where("container_format is null"), command)
+    if resource_forks:
+        # what comes from the fork beside a root is written as a whole
+        rows = rows.where((F.col("container_format").isNull() & ~((F.element_at("ordinal", 1) == MAX_INT) & (F.size("ordinal") > 1))) | F.col("fork"))
+    else:
+        rows = rows.where("container_format is null and not fork")
+    spark, folder = entries.sparkSession, os.path.abspath(folder)
+    stage = os.path.join(folder, f".burrow-{uuid.uuid4().hex}")
+    kept = [c for c in rows.columns if c not in ("data", "container_format")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", staged string"
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = []
+            for i in range(b.num_rows):
+                where = None
+                if b.column("to")[i].as_py() is not None:
+                    name = hashlib.sha256(repr((b.column("root_path")[i].as_py(), b.column("ordinal")[i].as_py(), b.column("path")[i].as_py())).encode()).hexdigest()
+                    where = os.path.join(stage, "files", name[:2], name)
+                    os.makedirs(os.path.dirname(where), exist_ok=True)
+                    part = f"{where}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(b.column("data")[i].as_py() or b"")
+                    os.replace(part, where)
+                places.append(where)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(places, pa.string())], names=[*kept, "staged"])
+
+    names = f"file://{stage}/names"
+    rows.mapInArrow(put, schema).write.parquet(names)
+    delete_at_exit(spark, f"file://{stage}")
+
+    def move(r: dict, name: str | None) -> dict:
+        if name is None:
+            return {"path": r["path"], "written": None, "warning": f"{r['path']}: {r['reason']}"}
+        to, warning = os.path.join(folder, name), None
+        try:
+            if os.path.exists(r["staged"]):  # else an earlier attempt of this task has moved it
                 os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(to, "wb") as f:
-                    f.write(r["data"] or b"")
-                if permissions and r["bits"] is not None:
-                    os.chmod(to, r["bits"] & 0o777)
-            out.append((r["path"], rel, warning))
-        return pa.table({"path": pa.array([o[0] for o in out], pa.string()), "written": pa.array([o[1] for o in out], pa.string()), "warning": pa.array([o[2] for o in out], pa.string())})
-
-    rows = named.where("container_format is null").select("root_path", "ordinal", "path", "target", "data", C.mode_bits("metadata.mode").alias("bits"))
-    return rows.groupBy("root_path").applyInArrow(run, "path string, written string, warning string")
+                os.replace(r["staged"], to)
+        except OSError as e:  # a name that is a file here and a folder there
+            return {"path": r["path"], "written": None, "warning": f"{r['path']}: {e.strerror}"}
+        if permissions and r["bits"] is not None:
+            os.chmod(to, r["bits"] & 0o777)
+        if attributes and r["type_code"] is not None and r["creator_code"] is not None:
+            try:
+                set_finder_info(to, bytes(r["type_code"]), bytes(r["creator_code"]))
+            except (OSError, subprocess.CalledProcessError) as e:
+                warning = str(e)
+        return {"path": r["path"], "written": name, "warning": warning}
+
+    found = spark.read.schema(schema).parquet(names)
+    done = folded(found.where("not fork"), [], move, DONE)
+    if not resource_forks:
+        return done
+
+    def attach(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                base = r["to"].removesuffix(FORK).rstrip("/") if r["to"] else os.path.basename(r["path"].removesuffix(f"/{FORK}"))
+                if r["to"] is not None and base:
+                    with open(r["staged"], "rb") as f:
+                        write_resource_fork(os.path.join(folder, base), f.read())
+                    out.append({"path": r["path"], "written": f"{base}/{FORK}", "warning": None})
+                else:
+                    out.append({"path": r["path"], "written": None, "warning": r["reason"] and f"{r['path']}: {r['reason']}"})
+            yield pa.RecordBatch.from_pylist(out, ARROW[DONE])
+
+    return done.unionByName(found.where("fork").mapInArrow(attach, DONE))

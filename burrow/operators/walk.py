@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..plans.expand import Options, Walk
 
 WALK = "root_path string, dirpath string, dirnames array<string>, filenames array<string>, seq int"
 
@@ -59,18 +60,50 @@ def walk(entries: DataFrame, topdown: bool = True) -> DataFrame:
     return rows.groupBy("root_path").applyInArrow(run, WALK)
 
 
-def listdir(entries: DataFrame, path: str) -> DataFrame:
-    """Last components of what is right inside ``path``, in order, copies and all."""
-    here = entries.where(F.col("container_path") == path)
+def walk_roots(roots: DataFrame, options: Options = Options(), topdown: bool = True) -> DataFrame:  # noqa: B008
+    """``walk`` of the roots in name and content, inside the tasks that decode them: entries come in visiting order there, so nothing is shuffled.
+
+    A root's rows are held until it is done with top-down, and leave one by one bottom-up.
+    """
+    every = replace(options, entry_type="all", include_data=False)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Walk(every)
+        for b in batches:
+            for i in range(b.num_rows):
+                root = b.column(0)[i].as_py() or ""
+                events = (e for e in one.root(root, b.column(1)[i].as_py()) if e.kind == "entry")
+                found = groups((e.container_path, e.path.rpartition("/")[2], e.format is not None) for e in events)
+                rows = list(found)[::-1] if topdown else found
+                out: list[tuple] = []
+                for seq, (path, inner, names) in enumerate(rows):
+                    out.append((root, path, inner, names, seq))
+                    if len(out) >= 1000:
+                        yield table(out)
+                        out = []
+                if out:
+                    yield table(out)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["root_path", "dirpath", "dirnames", "filenames", "seq"])
+
+    return roots.select("name", "content").mapInArrow(run, WALK)
+
+
+def listdir(entries: DataFrame, path: str | None = None) -> DataFrame:
+    """Last components of what is right inside ``path``, in order, copies and all; without a path, of what is right inside each root."""
+    here = entries.where(F.col("container_path") == (F.lit(path) if path is not None else F.col("root_path")))
     names = F.array_sort(F.collect_list(F.struct("root_path", "ordinal", C.name().alias("name"))))
-    return here.agg(F.transform(names, lambda x: x["name"]).alias("names"))
+    listed = F.transform(names, lambda x: x["name"]).alias("names")
+    return here.agg(listed) if path is not None else here.groupBy("root_path").agg(listed)
 
 
 def first_leaf(entries: DataFrame) -> DataFrame:
-    """The first leaf of each root."""
+    """The first leaf of each root: of a root's leaves one leaves each task. ``Options.first`` doesn't even decode the others."""
     leaves = entries.where(F.col("container_format").isNull())
-    w = Window.partitionBy("root_path").orderBy("ordinal")
-    return leaves.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    first = leaves.groupBy("root_path").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "root_path"]), "ordinal").alias("first"))
+    return first.select("root_path", "first.*").select(*entries.columns)
 
 
 def ordered(entries: DataFrame) -> DataFrame:

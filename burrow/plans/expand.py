@@ -30,7 +30,7 @@ class Options:
 
     ``entry_type``: leaves, containers or all. ``prefix``: only what is the path, below it or above it (by whole
     segments; the rest isn't even decoded). ``descend``: (path, format, size, depth) -> bool, a veto for offered containers.
-    ``include_data`` False leaves the bytes in the task.
+    ``include_data`` False leaves the bytes in the task. ``first``: a root's first entry alone; the rest isn't decoded.
     """
 
     max_depth: int = MAX_DEPTH
@@ -39,6 +39,7 @@ class Options:
     numeric: bool = False
     include_data: bool = True
     max_entry_bytes: int = MAX_ENTRY_BYTES
+    first: bool = False
     descend: Callable[[str, str, int, int], bool] | None = None
 
     def wants(self, container: bool) -> bool:
@@ -67,8 +68,10 @@ def root_code(e: ContainerError) -> str:
 
 
 class Walk:
-    def __init__(self, options: Options):
-        self.o = options
+    """``shift``: numbers in an ordinal that aren't a depth of their own, namely those that put files of a folder in order."""
+
+    def __init__(self, options: Options, shift: int = 0):
+        self.o, self.shift = options, shift
 
     def root(self, name: str, content: bytes | None, fork: bytes | None = None) -> Iterator[Event]:
         """Everything about one root; the root itself is never an entry."""
@@ -137,7 +140,7 @@ class Walk:
         if kind is None and (mac.has_ndif(sibling(fork_path)) or mac.has_ndif(fork)):
             kind = "Hfs"
         owner = f"{prefix}/{item.owner}" if item.owner else prefix
-        depth = len(ordinal)
+        depth = len(ordinal) - self.shift
         go = True
         if self.o.wants(kind is not None):
             yield Event("entry", path, owner, depth, ordinal, kind, data, meta)
@@ -223,6 +226,8 @@ def expand(roots: DataFrame, options: Options = Options(), name: str = "name", c
                     root = b.column(0)[i].as_py() or ""
                     for e in walk.root(root, b.column(1)[i].as_py(), b.column(2)[i].as_py() if has_fork else None):
                         yield root, e
+                        if options.first and e.kind == "entry":
+                            break
 
         yield from batches(events(), options.include_data)
 

@@ -8,7 +8,6 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..formats.base import Item, Opened
 from ..plans.expand import Event, Options, Walk, batches
@@ -52,32 +51,40 @@ def read_files(spark: SparkSession, *paths: str, recursive: bool = False) -> Dat
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths)).select(plain(F.col("path")).alias("name"), "content", "length")
 
 
+def order_of(parts: list[str]) -> list[int]:
+    """Numbers that sort like a list of names: the code points of each name, and a zero behind it."""
+    return [x for p in parts for x in (*map(ord, p), 0)]
+
+
 def expand_folder(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """The events of a folder as a container: files in the order of their paths, level by level, each expanded in its own task.
+    """The events of a folder as a container: files in the order of their paths, each expanded in the task that reads it.
 
-    Only names are ordered in one place (Spark's driver has listed them all by then); contents never are.
+    An entry's ``ordinal`` starts with its file's name in numbers, so that files are in order without being counted: there is no
+    shuffle, and Spark's driver lists the folder once.
     """
     base = path.rstrip("/")
-    files = read_files(spark, base, recursive=True)
-    parts = F.split(F.expr(f"substring(name, {len(_local(base)) + 2})"), "/")
-    names = files.select("name", F.size(parts).alias("level"), parts.alias("parts")).where(F.col("level") <= max(options.max_depth, 0))
-    ranked = names.withColumn("at", F.row_number().over(Window.orderBy("parts")) - 1).select("name", "level", "at")
-    roots = files.join(ranked, "name").select("name", "content", "level", "at")
+    files = read_files(spark, base, recursive=True).select("name", "content")
+    skip = len(_local(base)) + 1
 
     def run(found):
         def events():
             for b in found:
                 for i in range(b.num_rows):
-                    name, content, level, at = (b.column(k)[i].as_py() for k in range(4))
+                    name = b.column(0)[i].as_py()
+                    parts = name[skip:].split("/")
+                    if len(parts) > options.max_depth:
+                        continue
                     folder, _, leaf = name.rpartition("/")
-                    one = Opened([Item(leaf, content or b"")], 1)
-                    for e in Walk(options).entry(one, one.items[0], folder, options.max_depth - level + 1, [at]):
+                    one, at = Opened([Item(leaf, b.column(1)[i].as_py() or b"")], 1), order_of(parts)
+                    for e in Walk(options, len(at) - 1).entry(one, one.items[0], folder, options.max_depth - len(parts) + 1, at):
                         yield base, e
+                        if options.first and e.kind == "entry":
+                            break
 
         yield from batches(events(), options.include_data)
 
     root = spark.createDataFrame([(base,)], "name string").mapInArrow(lambda found: batches(((base, Event("root", base, format="Directory")) for b in found for _ in range(b.num_rows)), False), EVENTS)
-    return root.unionByName(roots.mapInArrow(run, EVENTS))
+    return root.unionByName(files.mapInArrow(run, EVENTS))
 
 
 def _local(path: str) -> str:

@@ -1,23 +1,32 @@
-"""The expander as a table function of Spark SQL: ``SELECT … FROM roots r, LATERAL expand_container(r.content, r.name)``."""
+"""The expander as a table function of Spark SQL: ``SELECT … FROM roots r, LATERAL expand_container(r.content, r.name) e``.
+
+Arguments and rows travel as Arrow; a root's entries leave in batches of bounded size. The rows have all columns of entries
+(but for the root's own name, which the caller has), metadata as a whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
-from ..plans.expand import Options, Walk
+from ..plans.expand import SCHEMA, Options, Walk, batches
+from ..schema import ENTRIES, MAX_DEPTH
 
-SCHEMA = "path string, container_path string, depth int, ordinal array<int>, container_format string, size bigint, data binary, compression_method string, mode string"
+COLUMNS = [n for n in SCHEMA.names if n in ("path", "container_path", "depth", "ordinal", "container_format", "size", "data", "metadata")]
 
 
 class ExpandContainer:
-    def eval(self, content: bytes, name: str, max_depth: int = 32) -> Iterator[tuple]:
-        for e in Walk(Options(max_depth=max_depth, entry_type="all")).root(name, bytes(content) if content is not None else None):
-            if e.kind == "entry":
-                yield e.path, e.container_path, e.depth, e.ordinal, e.format, len(e.data), e.data, e.meta.compression_method if e.meta else None, e.meta.mode if e.meta else None
+    def eval(self, content: pa.Array, name: pa.Array, max_depth: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+        for i in range(len(name)):
+            depth = max_depth[i].as_py() if max_depth is not None else None
+            walk = Walk(Options(max_depth=MAX_DEPTH if depth is None else depth, entry_type="all"))
+            root = name[i].as_py() or ""
+            for b in batches(((root, e) for e in walk.root(root, content[i].as_py()) if e.kind == "entry"), True):
+                yield b.select(COLUMNS)
 
 
 def register(spark: SparkSession, name: str = "expand_container") -> None:
-    spark.udtf.register(name, udtf(ExpandContainer, returnType=SCHEMA))
+    spark.udtf.register(name, arrow_udtf(ExpandContainer, returnType=ENTRIES.partition(", ")[2]))

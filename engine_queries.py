@@ -12,7 +12,9 @@ import fixture_writers as W
 from burrow.functions import columns as C
 from burrow.operators import sinks as S
 from burrow.operators import walk as L
+from burrow.operators.api import Loader
 from burrow.plans import expand as X
+from burrow.scratch import save
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(rows: DataFrame, pack: Callable[[dict], tuple[str, bytes]], extra: str = "") -> DataFrame:
+#: Whether roots are written to the scratch folder when they are asked for: the benchmark packs outside the clock.
+KEEP_PACKED = False
+
+
+def packed(rows: DataFrame, pack: Callable[[dict], tuple[str, bytes]]) -> DataFrame:
     """A root (name, content) for each row."""
 
     def run(batches):
@@ -41,7 +47,8 @@ def packed(rows: DataFrame, pack: Callable[[dict], tuple[str, bytes]], extra: st
                 made = [pack(r) for r in b.slice(k, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["name", "content"])
 
-    return rows.mapInArrow(run, "name string, content binary")
+    roots = rows.mapInArrow(run, "name string, content binary")
+    return save(roots, "packed") if KEEP_PACKED else roots
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +94,10 @@ def zip_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), lambda r: (f"{r['source']}/{r['doc_id']}.zip", W.zip_(lines(r)))))
 
 
-@query(f"SELECT source || '/' || doc_id || '.tar' || {MEMBER} AS path, CAST(octet_length(encode(line)) AS BIGINT) AS size, CASE WHEN doc_id % 2 = 0 THEN '-rw-r--r--' ELSE '-rwxr-xr-x' END AS mode FROM ({LINE})")
+@query(f"SELECT source || '/' || doc_id || '.tar' || {MEMBER} AS path, CAST(octet_length(encode(line)) AS BIGINT) AS size, CASE WHEN doc_id % 2 = 0 THEN '-rw-r--r--' ELSE '-rwxr-xr-x' END AS mode, sha256(line) AS sha256 FROM ({LINE})")
 def tar_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = packed(docs(spark, sf_dir), lambda r: (f"{r['source']}/{r['doc_id']}.tar", W.tar(lines(r), 0o755 if r["doc_id"] % 2 else 0o644)))
-    return X.entries(X.expand(roots)).select("path", "size", F.col("metadata.mode").alias("mode"))
+    return X.entries(X.expand(roots)).select("path", "size", F.col("metadata.mode").alias("mode"), F.sha2("data", 256).alias("sha256"))
 
 
 @query(doc_query("doc_id || '.txt.gz/' || doc_id || '.txt'"))
@@ -118,9 +125,12 @@ def scumm_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.lec", W.scumm([x for _, x in lines(r)], 0x69 * (r["doc_id"] % 2)))))
 
 
-@query(f"SELECT doc_id || '.sou/speech_0000.voc' AS path, CAST(octet_length(encode(text)) + 27 + 4 * ((octet_length(encode(text)) + 65534) // 65535) AS BIGINT) AS size FROM ({DOC})")
+@query(f"SELECT doc_id || '.sou/speech_0000.voc' AS path, CAST(octet_length(encode(text)) + 27 + 4 * ((octet_length(encode(text)) + 65534) // 65535) AS BIGINT) AS size, sha256(unhex(substr(hex(encode(text)), 1, 131070))) AS sha256 FROM ({DOC})")
 def scumm_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaves(packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.sou", W.speech([text(r)])))).select("path", "size")
+    found = X.entries(X.expand(packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.sou", W.speech([text(r)])))))
+    # the first block's sound, behind the heads of the file and of the block; an empty text has no block
+    sound = F.when(F.col("size") > 27, F.expr("substring(data, 31, least(size - 31, 65535))")).otherwise(F.lit(b""))
+    return found.select("path", "size", F.sha2(sound, 256).alias("sha256"))
 
 
 @query(doc_query("doc_id || '.bun/text.imx'"))
@@ -128,12 +138,15 @@ def imuse_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.bun", W.bundle([("text.imx", text(r))]))))
 
 
-@query("SELECT 'vswap-' || p_partkey || '/' || k || '_' || printf('%04d', j) AS path, CAST(CASE k WHEN 'wall' THEN 4096 WHEN 'sprite' THEN p_size + 1 ELSE 100 END AS BIGINT) AS size FROM part, (SELECT 'wall' AS k, unnest(range(20)) AS j UNION ALL SELECT 'sprite', unnest(range(50)) UNION ALL SELECT 'sound', unnest(range(10)))")
+@query("SELECT path, CAST(n AS BIGINT) AS size, sha256(repeat(chr(CAST(97 + (p_partkey + j) % 26 AS INT)), CAST(n AS INT))) AS sha256 FROM (SELECT 'vswap-' || p_partkey || '/' || k || '_' || printf('%04d', j) AS path, CASE k WHEN 'wall' THEN 4096 WHEN 'sprite' THEN p_size + 1 ELSE 100 END AS n, p_partkey, j FROM part, (SELECT 'wall' AS k, unnest(range(20)) AS j UNION ALL SELECT 'sprite', unnest(range(50)) UNION ALL SELECT 'sound', unnest(range(10))))")
 def wolf3d_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pack(r: dict) -> tuple[str, bytes]:
-        return f"vswap-{r['p_partkey']}", W.vswap([b"w" * 4096] * 20, [b"s" * (r["p_size"] + 1)] * 50, [b"n" * 100] * 10 + [b""] * 30)
+        def filled(k: int, n: int) -> bytes:
+            return bytes([97 + (r["p_partkey"] + k) % 26]) * n
+
+        return f"vswap-{r['p_partkey']}", W.vswap([filled(k, 4096) for k in range(20)], [filled(k, r["p_size"] + 1) for k in range(50)], [filled(k, 100) for k in range(10)] + [b""] * 30)
 
-    return leaves(packed(table(spark, sf_dir, "part").select("p_partkey", "p_size"), pack)).select("path", "size")
+    return leaves(packed(table(spark, sf_dir, "part").select("p_partkey", "p_size"), pack))
 
 
 @query(f"SELECT doc_id || '.ima/' || name AS path, {SIZED.format('text')} FROM (SELECT doc_id, unnest(['text.txt', 'lang', 'source.src']) AS name, unnest([text, lang, source]) AS text FROM ({DOC})) WHERE text != ''")
@@ -144,16 +157,19 @@ def fat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), pack))
 
 
-@query("SELECT s_suppkey || '.img/' || path AS path, size FROM (SELECT s_suppkey, 'DISK/name.txt' AS path, CAST(octet_length(encode(s_name)) AS BIGINT) AS size FROM supplier UNION ALL SELECT s_suppkey, 'p1.img', 512 * CAST((octet_length(encode(s_name)) + 511) // 512 AS BIGINT) FROM supplier)")
+PADDED = "encode(s_name) || unhex(repeat('00', CAST((512 - octet_length(encode(s_name)) % 512) % 512 AS INT)))"
+
+
+@query(f"SELECT s_suppkey || '.img/' || path AS path, CAST(octet_length(data) AS BIGINT) AS size, sha256(data) AS sha256 FROM (SELECT s_suppkey, 'DISK/name.txt' AS path, encode(s_name) AS data FROM supplier UNION ALL SELECT s_suppkey, 'p1.img', {PADDED} FROM supplier)")
 def mbr_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return leaves(packed(rows, lambda r: (f"{r['s_suppkey']}.img", W.mbr([W.fat([("NAME.TXT", r["s_name"].encode())], "DISK"), r["s_name"].encode()])))).select("path", "size")
+    return leaves(packed(rows, lambda r: (f"{r['s_suppkey']}.img", W.mbr([W.fat([("NAME.TXT", r["s_name"].encode())], "DISK"), r["s_name"].encode()]))))
 
 
-@query("SELECT s_suppkey || '.raw/' || path AS path, size FROM (SELECT s_suppkey, 'p0.img' AS path, 512 * CAST((octet_length(encode(s_name)) + 511) // 512 AS BIGINT) AS size FROM supplier UNION ALL SELECT s_suppkey, 'p1.img/name.txt', CAST(octet_length(encode(s_name)) AS BIGINT) FROM supplier)")
+@query(f"SELECT s_suppkey || '.raw/' || path AS path, CAST(octet_length(data) AS BIGINT) AS size, sha256(data) AS sha256 FROM (SELECT s_suppkey, 'p0.img' AS path, {PADDED} AS data FROM supplier UNION ALL SELECT s_suppkey, 'p1.img/name.txt', encode(s_name) FROM supplier)")
 def gpt_partitions_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return leaves(packed(rows, lambda r: (f"{r['s_suppkey']}.raw", W.gpt([r["s_name"].encode(), W.fat([("NAME.TXT", r["s_name"].encode())], "DISK")]))), numeric=True).select("path", "size")
+    return leaves(packed(rows, lambda r: (f"{r['s_suppkey']}.raw", W.gpt([r["s_name"].encode(), W.fat([("NAME.TXT", r["s_name"].encode())], "DISK")]))), numeric=True)
 
 
 @query(f"SELECT doc_id || '.bin/' || CASE WHEN kind = 'data' THEN 'doc' || doc_id ELSE 'doc' || doc_id || '/..namedfork/rsrc/STR /' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE '#128' END END AS path, {SIZED.format('text')} FROM (SELECT doc_id, lang, unnest(['data', 'fork']) AS kind, unnest([text, source]) AS text FROM ({DOC}))")
@@ -165,10 +181,10 @@ def macbinary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), pack))
 
 
-@query(f"SELECT doc_id || '.as/' || lang AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, CASE WHEN doc_id % 2 = 0 THEN 'TEXT/ttxt' ELSE '' END AS metadata FROM ({DOC})")
+@query(f"SELECT doc_id || '.as/' || lang AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, CASE WHEN doc_id % 2 = 0 THEN 'TEXT/ttxt' ELSE '' END AS metadata, sha256(text) AS sha256 FROM ({DOC})")
 def applesingle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.as", W.apple({3: r["lang"].encode(), 9: (b"\0" * 8 if r["doc_id"] % 2 else b"TEXTttxt") + b"\0" * 24, 1: text(r)})))
-    return X.entries(X.expand(roots)).select("path", "size", C.metadata_display().alias("metadata"))
+    return X.entries(X.expand(roots)).select("path", "size", C.metadata_display().alias("metadata"), F.sha2("data", 256).alias("sha256"))
 
 
 @query("SELECT page_id || '.hqx/page' || page_id AS path, CAST(octet_length(encode(url)) AS BIGINT) AS size, sha256(url) AS sha256 FROM pages")
@@ -275,15 +291,24 @@ def container_info(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT {IN_NESTED}/a.zip', [], list({NUMBER} || '.txt' ORDER BY i), 2 FROM ({LINE}) GROUP BY doc_id)"""
 )
 def walk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.walk_roots(nested(spark, sf_dir))
+    return found.select("dirpath", F.array_join("dirnames", ",").alias("dirnames"), F.array_join("filenames", ",").alias("filenames"), "seq")
+
+
+WALKED = ORACLES["walk_groups"]
+
+
+@query(WALKED)
+def walk_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of entries, whose names come together root by root."""
     found = L.walk(rows_of(spark, sf_dir, entry_type="all"))
     return found.select("dirpath", F.array_join("dirnames", ",").alias("dirnames"), F.array_join("filenames", ",").alias("filenames"), "seq")
 
 
 @query(f"SELECT doc_id || '.tar.xz' AS root_path, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT doc_id, doc_id || '.tar' AS name FROM ({DOC})) GROUP BY doc_id")
 def listdir_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows_of(spark, sf_dir, entry_type="all", max_depth=1)
-    names = F.array_sort(F.collect_list(F.struct("ordinal", C.name().alias("name"))))
-    return found.where("container_path = root_path").groupBy("root_path").agg(F.array_join(F.transform(names, lambda x: x["name"]), ",").alias("names"))
+    found = L.listdir(rows_of(spark, sf_dir, entry_type="all", max_depth=1))
+    return found.select("root_path", F.array_join("names", ",").alias("names"))
 
 
 @query(f"SELECT doc_id || '.tar.xz' AS root_path, {IN_NESTED}/a.zip' || {MEMBER} AS path FROM ({LINE}) WHERE i = 0")
@@ -298,12 +323,12 @@ def filter_prefix_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{LEVELS} WHERE starts_with(path, '7')")
 def filter_prefix_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, sf_dir, entry_type="all").where(F.startswith("path", F.lit("7"))).select(*SHOWN)
+    return Loader.of(nested(spark, sf_dir)).with_entry_type("all").without_data().filter_path("7").entries().select(*SHOWN)
 
 
 @query(f"{LEVELS} WHERE lower(regexp_extract(path, '[^/]*$', 0)) LIKE '%.zip'")
 def filter_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, sf_dir, entry_type="all").where(F.lower(C.extension()).isin("zip")).select(*SHOWN)
+    return Loader.of(nested(spark, sf_dir)).with_entry_type("all").without_data().filter_extension(["ZIP"]).entries().select(*SHOWN)
 
 
 @query(f"SELECT doc_id || '.zip' AS root_path, 0 AS seq, CASE WHEN doc_id % 5 = 1 THEN 'NestedContainerOpenFailed' ELSE 'RootUnsupportedFormat' END AS code, CASE WHEN doc_id % 5 = 1 THEN doc_id || '.zip/inner.zip' ELSE doc_id || '.zip' END AS path FROM ({DOC}) WHERE doc_id % 5 IN (1, 2)")
@@ -338,10 +363,10 @@ def unique_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unique_paths(named).select("root_path", "path", "output")
 
 
-@query("SELECT event_id || '.gz/' || event_id AS path, CAST(octet_length(encode(coalesce(props, ''))) AS BIGINT) AS size FROM events")
+@query("SELECT event_id || '.gz/' || event_id AS path, CAST(octet_length(encode(coalesce(props, ''))) AS BIGINT) AS size, sha256(coalesce(props, '')) AS sha256 FROM events")
 def events_archive_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.coalesce("props", F.lit("")).alias("props"))
-    return leaves(packed(rows, lambda r: (f"{r['event_id']}.gz", W.gz(r["props"].encode())))).select("path", "size")
+    return leaves(packed(rows, lambda r: (f"{r['event_id']}.gz", W.gz(r["props"].encode()))))
 
 
 @query(line_query(f"source || '/' || doc_id || '.zip' || {MEMBER}"))
@@ -352,13 +377,13 @@ def levels_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.expand(roots, X.Options()).select("path", "size", F.sha2("data", 256).alias("sha256"))
 
 
-@query(f"SELECT doc_id || '.zip' AS root, doc_id || '.zip' || {MEMBER} AS path, CAST(octet_length(encode(line)) AS BIGINT) AS size FROM ({LINE})")
+@query(f"SELECT doc_id || '.zip' AS root, doc_id || '.zip' || {MEMBER} AS path, {SIZED.format('line')} FROM ({LINE})")
 def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.sources import udtf
 
     udtf.register(spark)
     packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.zip", W.zip_(lines(r)))).createOrReplaceTempView("burrow_roots")
-    return spark.sql("SELECT r.name AS root, e.path, e.size FROM burrow_roots r, LATERAL expand_container(r.content, r.name) e WHERE e.container_format IS NULL")
+    return spark.sql("SELECT r.name AS root, e.path, e.size, sha2(e.data, 256) AS sha256 FROM burrow_roots r, LATERAL expand_container(r.content, r.name) e WHERE e.container_format IS NULL")
 
 
 # scalars ---------------------------------------------------------------------------------------------------------------
@@ -376,16 +401,16 @@ def path_stem_and_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, mode AS bits, '-' || CASE WHEN mode & 256 > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & 128 > 0 THEN 'w' ELSE '-' END
+    """SELECT l_orderkey, l_linenumber, mode & 4095 AS bits, CASE mode // 4096 WHEN 1 THEN 'p' WHEN 2 THEN 'c' WHEN 4 THEN 'd' WHEN 6 THEN 'b' WHEN 10 THEN 'l' WHEN 12 THEN 's' ELSE '-' END || CASE WHEN mode & 256 > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & 128 > 0 THEN 'w' ELSE '-' END
   || CASE WHEN mode & 2048 > 0 THEN CASE WHEN mode & 64 > 0 THEN 's' ELSE 'S' END WHEN mode & 64 > 0 THEN 'x' ELSE '-' END
   || CASE WHEN mode & 32 > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & 16 > 0 THEN 'w' ELSE '-' END
   || CASE WHEN mode & 1024 > 0 THEN CASE WHEN mode & 8 > 0 THEN 's' ELSE 'S' END WHEN mode & 8 > 0 THEN 'x' ELSE '-' END
   || CASE WHEN mode & 4 > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & 2 > 0 THEN 'w' ELSE '-' END
   || CASE WHEN mode & 512 > 0 THEN CASE WHEN mode & 1 > 0 THEN 't' ELSE 'T' END WHEN mode & 1 > 0 THEN 'x' ELSE '-' END AS mode
-FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 4096 AS INT) AS mode FROM lineitem)"""
+FROM (SELECT l_orderkey, l_linenumber, CAST((l_partkey * 31 + l_orderkey) % 65536 AS INT) AS mode FROM lineitem)"""
 )
 def mode_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.mode_text((F.col("l_partkey") % 4096).cast("int")).alias("mode"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.mode_text(((F.col("l_partkey") * 31 + F.col("l_orderkey")) % 65536).cast("int")).alias("mode"))
     return rows.select("l_orderkey", "l_linenumber", C.mode_bits("mode").alias("bits"), "mode")
 
 

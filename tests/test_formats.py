@@ -1,6 +1,8 @@
 """Decoders, without Spark: each against bytes from a writer."""
 
 import io
+import lzma
+import random
 import struct
 import zipfile
 import zlib
@@ -10,9 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import fixture_writers as W
-from burrow.codecs import adc, compactpro, imuse, stuffit
+from burrow.codecs import adc, compactpro, imuse, rar, stuffit
 from burrow.codecs.huffman import Bits, Code
 from burrow.codecs.lzh import unpack as unlzh
+from burrow.errors import ContainerError
 from burrow.formats import mac
 from burrow.formats.common import mode_text
 from burrow.formats.detect import detect
@@ -219,6 +222,10 @@ def test_codecs():
     assert stuffit.runs(b"AB\x90\x05", 6) == b"ABBBBB" and stuffit.runs(b"\x90\x00", 1) == b"\x90"
     assert compactpro.runs(b"A\x81\x82\x05", 5) == b"AAAAA"
     assert adc.unpack(b"\x82abc" + b"\x00\x02", 6) == b"abcabc"
+    # what comes before the damage is kept: a reference before the start, literals and copies beyond the room, data that end early
+    assert adc.unpack(b"\x82abc" + b"\x00\x09", 6) == b"abc"
+    assert adc.unpack(b"\x82abc" + b"\x83defg", 6) == b"abc" and adc.unpack(b"\x82abc" + b"\x04\x02", 6) == b"abc"
+    assert adc.unpack(b"\x82abc" + b"\x40\x00", 9) == b"abc" and adc.unpack(b"\x82ab", 9) == b""
     code = Code([2, 1, 2])
     assert [code.read(b) for b in [Bits(bytes([0b10011000]))] for _ in range(3)] == [0, 1, 2]
     with pytest.raises(Exception, match="many"):
@@ -270,7 +277,7 @@ def test_lh5():
 
 def test_what_cannot_be_decoded_is_a_diagnostic():
     packed = W.rar4_stored(MEMBERS).replace(b"\x1d\x30", b"\x1d\x33")
-    assert "compressed" in walk("x.rar", packed)[0].message
+    assert "RAR decompression error" in walk("x.rar", packed)[0].message  # its bytes are text, not codes
     assert walk("x.sit", b"StuffIt (c)1997" + b"\0" * 200)[0].code == "RootUnsupportedFormat"
 
 
@@ -291,3 +298,193 @@ def test_detection_order_and_hints():
     total = sum(old[:148]) + 8 * 32 + sum(old[156:512])
     old[148:156] = f"{total:06o}\0 ".encode()
     assert detect("x.tar", bytes(old)) == "Tar" and detect("x", bytes(old)) is None
+
+
+# RAR and LHA -----------------------------------------------------------------------------------------------------------
+
+
+def mixed(seed: int, n: int = 12_000) -> bytes:
+    """Text with repeats near and far, noise and runs."""
+    r = random.Random(seed)
+    words = [bytes(r.choices(b"abcdefgh ", k=r.randint(2, 9))) for _ in range(120)]
+    text = b" ".join(r.choice(words) for _ in range(n // 6))
+    return text + bytes(r.randrange(256) for _ in range(700)) + b"z" * 900 + text[: n // 3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rar_coders(seed):
+    data = mixed(seed)
+    for per_block in (200, 100_000):
+        assert rar.Rar5(1 << 20).unpack(W.rar5_packed(data, per_block=per_block), len(data), False) == data
+        assert rar.Rar29().unpack(W.rar29_packed(data, per_block=per_block), len(data), False) == data
+
+
+def test_rar_copies_from_afar():
+    r = random.Random(1)
+    noise = bytes(r.randrange(256) for _ in range(3000))
+    data = noise + bytes(300_000) + noise + b"ab" * 50 + noise
+    assert rar.Rar5(1 << 20).unpack(W.rar5_packed(data), len(data), False) == data
+    assert rar.Rar29().unpack(W.rar29_packed(data), len(data), False) == data
+
+
+@given(st.binary(max_size=400), st.integers(1, 40))
+@settings(max_examples=40, deadline=None)
+def test_rar_coders_on_anything(data, times):
+    data = data * times
+    assert rar.Rar5(1 << 20).unpack(W.rar5_packed(data, per_block=50), len(data), False) == data
+    if data:
+        assert rar.Rar29().unpack(W.rar29_packed(data, per_block=50), len(data), False) == data
+
+
+def test_rar_archives():
+    one, two = mixed(1), mixed(2)
+    members = [("b/two.bin", two), ("a.txt", one)]
+    for raw in (
+        W.rar5([(k, v, W.rar5_packed(v)) for k, v in members]),
+        W.rar29([(k, v, W.rar29_packed(v)) for k, v in members]),
+        W.rar5([("b/two.bin", two, W.rar5_packed(two)), ("a.txt", one, W.rar5_packed(two + one, len(two)))], solid=True),
+        W.rar29([("b/two.bin", two, W.rar29_packed(two)), ("a.txt", one, W.rar29_packed(two + one, len(two)))], solid=True),
+    ):
+        events = [e for e in walk("x.rar", raw) if e.kind == "entry"]
+        assert {e.path: e.data for e in events} == {f"x.rar/{k}": v for k, v in members}
+        assert {e.meta.compression_method for e in events} == {"normal"}
+    cut = W.rar5([("a", one, W.rar5_packed(one)[:-200])])
+    assert walk("x.rar", cut)[0].code == "RootTraversalFailed" and "a" in walk("x.rar", cut)[0].message
+    ppm = W.rar29([("a", one, b"\x80" * 50)])
+    assert "PPMd" in walk("x.rar", ppm)[0].message
+
+
+def test_rar5_filters():
+    """Each filter undoes what the writer does by its definition."""
+    r = random.Random(3)
+    code = bytearray(mixed(5, 4000))
+    for _ in range(200):
+        at = r.randrange(len(code) - 8)
+        code[at] = r.choice(b"\xe8\xe9")
+        code[at + 1 : at + 5] = struct.pack("<i", r.randrange(-len(code), len(code)))
+    code = bytes(code)
+
+    def absolute(d: bytes, marks: bytes) -> bytes:
+        out, at = bytearray(d), 0
+        while at + 4 < len(out):
+            at += 1
+            if out[at - 1] in marks:
+                target = int.from_bytes(out[at : at + 4], "little", signed=True)
+                if -at <= target < (1 << 24) - at:
+                    out[at : at + 4] = struct.pack("<i", target + at)
+                elif (1 << 24) - at <= target < 1 << 24:
+                    out[at : at + 4] = struct.pack("<i", target - (1 << 24))
+                at += 4
+        return bytes(out)
+
+    for kind, marks in ((1, b"\xe8"), (2, b"\xe8\xe9")):
+        p = W.rar5_packed(absolute(code, marks), filters=[(0, len(code), kind, 0)])
+        assert rar.Rar5(1 << 20).unpack(p, len(code), False) == code
+    for channels in (1, 3, 32):
+        parts = [code[c::channels] for c in range(channels)]
+        apart = b"".join(bytes((a - b) & 255 for a, b in zip(b"\0" + x[:-1], x, strict=True)) for x in parts if x)
+        p = W.rar5_packed(apart, filters=[(0, len(code), 0, channels)])
+        assert rar.Rar5(1 << 20).unpack(p, len(code), False) == code
+    branch = b"".join(struct.pack("<I", 0xEB000000 | (i * 77 & 0xFFFFFF) if i % 3 else i) for i in range(500))
+    far = b"".join(struct.pack("<I", 0xEB000000 | ((i * 77) + i & 0xFFFFFF) if i % 3 else i) for i in range(500))
+    assert rar.Rar5(1 << 20).unpack(W.rar5_packed(far, filters=[(0, 2000, 3, 0)]), 2000, False) == branch
+    with pytest.raises(ContainerError):
+        rar.Rar5(1 << 20).unpack(W.rar5_packed(far, filters=[(0, 2001, 3, 0)]), 2000, False)
+
+
+def test_rar29_filters(monkeypatch):
+    """The six programs are known by their checksums; here stand-ins of the writer's own have those."""
+    data = bytes(range(256)) * 12
+    names = {b"prog-%d" % i: n for i, n in enumerate(("delta", "sound", "picture", "itanium", "e8"))}
+    monkeypatch.setattr(rar, "PROGRAMS", {(len(k), zlib.crc32(k)): n for k, n in names.items()})
+
+    def declared(code: bytes, registers: dict[int, int]) -> bytes:
+        b = W.BitsOut()
+        for v in (0, 0, len(data)):  # a new list of programs, from the start, that many bytes
+            b.put(2, 2)
+            b.put(v, 16)
+        b.put(sum(1 << i for i in registers), 7)
+        for v in [*registers.values(), len(code)]:
+            b.put(2, 2)
+            b.put(v, 16)
+        for c in code:
+            b.put(c, 8)
+        raw = b.bytes()
+        return bytes([0x80 | 0x20 | 0x10 | 7]) + struct.pack(">H", len(raw)) + raw
+
+    def unpacked(name: str, raw: bytes, registers: dict[int, int]) -> bytes:
+        code = next(k for k, n in names.items() if n == name)
+        return rar.Rar29().unpack(W.rar29_packed(raw, program=declared(code, registers)), len(raw), False)
+
+    parts = [data[c::4] for c in range(4)]
+    apart = b"".join(bytes((a - b) & 255 for a, b in zip(b"\0" + x[:-1], x, strict=True)) for x in parts)
+    assert unpacked("delta", apart, {0: 4}) == data
+    # a steady channel is predicted without errors once its weights are known, whatever they are at first
+    assert unpacked("sound", bytes(len(data)), {0: 2}) == bytes(len(data))
+    assert unpacked("picture", bytes(len(data)), {0: 30, 1: 0}) == bytes(len(data))
+    assert unpacked("e8", data, {}) == bytes(rar.jumps(bytearray(data), 0, b"\xe8"))
+    assert unpacked("itanium", bytes(len(data)), {}) == bytes(len(data))
+
+
+def picture_apart(out: bytes, width: int, red: int) -> bytes:
+    """The inverse of the picture filter, from its definition."""
+    plain = bytearray(out)
+    for at in range(red, len(out) - 2, 3):
+        plain[at], plain[at + 2] = (out[at] - out[at + 1]) & 255, (out[at + 2] - out[at + 1]) & 255
+    rows = []
+    for c in range(3):
+        for at in range(c, len(out), 3):
+            left = plain[at - 3] if at >= 3 else 0
+            guess = left
+            if at >= width:
+                up, corner = plain[at - width + 3], plain[at - width]
+                slope = left + up - corner
+                a, b, d = abs(slope - left), abs(slope - up), abs(slope - corner)
+                guess = left if a <= b and a <= d else up if b <= d else corner
+            rows.append((guess - plain[at]) & 255)
+    return bytes(rows)
+
+
+def test_rar_picture_filter():
+    r = random.Random(4)
+    for width, red in ((30, 0), (60, 3), (6, 1)):
+        data = bytes(r.randrange(256) for _ in range(900))
+        assert rar.picture(bytearray(picture_apart(data, width, red)), width, red) == data
+
+
+def test_rar_itanium_filter():
+    bundle = 0x12 | 5 << (5 + 37 + 82) | 100 << (5 + 13 + 82)
+    data = (bundle.to_bytes(16, "little")) * 4 + bytes(32)
+    out = rar.itanium(bytearray(data), 16)
+    targets = [int.from_bytes(out[i : i + 16], "little") >> (5 + 13 + 82) & 0xFFFFF for i in range(0, 64, 16)]
+    assert targets == [99, 98, 97, 96]
+
+
+@pytest.mark.parametrize("method", [b"-lh1-", b"-lzs-", b"-lz5-"])
+def test_lha_older_methods(method):
+    pack = {b"-lh1-": W.lh1, b"-lzs-": W.lzs, b"-lz5-": W.lz5}[method]
+    members = [("a.txt", mixed(6)), ("b", b""), ("c", b"x" * 5000)]
+    events = [e for e in walk("x.lzh", W.lha([(k, v, pack(v)) for k, v in members], method)) if e.kind == "entry"]
+    assert {e.path: e.data for e in events} == {f"x.lzh/{k}": v for k, v in members}
+    assert {e.meta.compression_method for e in events} == {method.decode().strip("-")}
+    assert walk("x.lzh", W.lha([("a", mixed(9), pack(mixed(9))[:500])], method))[0].kind == "diag"
+
+
+def test_lh1_weights_are_halved():
+    data = mixed(7, 90_000)
+    assert unlzh(W.lh1(data), b"-lh1-", len(data)) == data
+
+
+def test_zip_with_xz():
+    """An entry of method 95, which Python's module can't write: its XZ stream in the place of a stored entry's bytes."""
+    data = mixed(8)
+    packed = lzma.compress(data)
+    raw = bytearray(W.zip_([("a.txt", packed)], zipfile.ZIP_STORED))
+    for at, shift in ((0, 0), (raw.index(b"PK\x01\x02"), 2)):
+        struct.pack_into("<H", raw, at + 8 + shift, 95)
+        struct.pack_into("<I", raw, at + 14 + shift, zlib.crc32(data))
+        struct.pack_into("<I", raw, at + 22 + shift, len(data))
+    events = walk("x.zip", bytes(raw))
+    assert {e.path: e.data for e in events if e.kind == "entry"} == {"x.zip/a.txt": data} and events[1].meta.compression_method == "compressed"
+    raw[60] ^= 255
+    assert walk("x.zip", bytes(raw))[0].kind == "diag"

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import engine_queries as Q
+import engine_queries_more  # noqa: F401  adds its queries to the others
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -51,7 +52,7 @@ def test_without_the_llm_folder(tmp_path):
     from pathlib import Path
 
     root = Path(__file__).resolve().parent.parent
-    for f in ("__spark_entry__.py", "engine_queries.py", "fixture_writers.py"):
+    for f in ("__spark_entry__.py", "engine_queries.py", "engine_queries_more.py", "fixture_writers.py"):
         shutil.copy(root / f, tmp_path)
     shutil.copytree(root / "burrow", tmp_path / "burrow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op') or q == 'pipeline'])"
