@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .. import scratch
+from ..scratch import drop_saved, setting, shared_dir  # noqa: F401  for the operators
+
 #: Bytes of text, and rows, that one step of a batch operator works on at a time: what a worker holds doesn't follow the size of Arrow's batches.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 
@@ -20,39 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def setting(spark: SparkSession, name: str) -> str | None:
-    return spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``). Only a local session, whose executor is the driver, may leave it unset: it gets a new folder of its own."""
-    found = setting(spark, "spark.checkpoint.dir") or setting(spark, "burrow.scratch.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="burrow-")
-        spark.conf.set("burrow.scratch.dir", found)
-    return found.rstrip("/")
-
-
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lost executors take no lineage with them. The files go when the session ends."""
-    spark = df.sparkSession
-    modest(spark)
-    path = f"{shared_dir(spark)}/burrow-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Removes the files of a table made by ``save`` that nothing reads any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    modest(df.sparkSession)
+    return scratch.save(df, label)
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held several times over on its way. The session's ``burrow.batch.rows``
@@ -109,7 +81,7 @@ def slices(lengths: Iterable[int], most: int = SLICE_BYTES) -> Iterator[slice]:
 
 
 #: Of a table of hashed keys: bits for each key, the fewest and the most bits, and bits of one part.
-PER_KEY, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 20, 1 << 29, 1 << 20
+PER_KEY, LEAST_BITS, MOST_BITS, PART_BITS = 64, 1 << 23, 1 << 29, 1 << 20
 
 
 def _places(column: pa.Array, bits: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save
+from .common import drop_saved, partitions, save
 
 #: One of so many items of a large group is in all of its tasks.
 PIVOTS = 8
@@ -22,31 +22,44 @@ PIVOTS = 8
 Search = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges``: a > b. Large-star looks at both directions, small-star at the smaller neighbours alone."""
+#: Edges from which on nodes with very many neighbours are looked after: below, all of one node's fit into any task.
+MANY = 1 << 20
+
+
+def star(edges: DataFrame, large: bool, count: int = 0) -> DataFrame:
+    """``edges``: a > b. Large-star looks at both directions, small-star at the smaller neighbours alone.
+
+    With more than MANY of them, what the nodes with over an eighth of a task's share of edges need to know is broadcast; there
+    are sixteen such nodes for each task at most.
+    """
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
-    joined = both.join(least, F.col("a") == F.col("_a"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"), "n")
+    known, here = least.drop("n"), F.col("a") == F.col("_a")
+    if count > MANY:
+        hubs = least.where(F.col("n") > max(MANY >> 3, count // (8 * partitions(edges.sparkSession)))).drop("n")
+        joined = both.join(F.broadcast(hubs), here).unionByName(both.join(F.broadcast(hubs.select("_a")), here, "left_anti").join(known, here))
+    else:
+        joined = both.join(known, here)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("_a").alias("a"), F.col("m").alias("b")))
+        out = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(known.select(F.col("_a").alias("a"), F.col("m").alias("b")))
     return out.where("a != b").distinct()
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """node and root (the smallest node of its component) for every node that isn't a root itself. ``edges``: a and b (long)."""
     now = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
-    mark = None
+    mark, count = None, now.count()
     while True:
         # done when a round changes nothing: then only stars around the smallest nodes are left
-        new = save(star(star(now, True), False), label)
+        new = save(star(star(now, True, count), False, count), label)
         drop_saved(now)
         now = new
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
         if tuple(sums) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(sums)
+        mark, count = tuple(sums), sums[0]
 
 
 class Union:
