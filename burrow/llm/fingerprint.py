@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .common import Bits, arrow_type, key_bits, map_batches, mix64, partitions, save, small, spread_join
+from .common import Bits, arrow_type, key_bits, map_batches, mix64, partitions, save, spread_join
 
 SLOTS, SEED = 128, 20_017
 #: The walk's random bits repeat after so many steps; characters are folded to so many kinds, the last of which never moves.
@@ -44,7 +44,7 @@ FEW = 24
 #: Near texts: the least likeness, the share of such pairs that meet in a band, and bits of a band beyond the logarithm of the number of texts.
 LEAST, RECALL, SPARE = 0.85, 0.95, 13
 #: Fingerprints of a candidate component that one task compares, and texts whose bands are compared before they leave a task.
-LIMIT, FLUSH = 1 << 13, 1 << 14
+LIMIT, FLUSH = 1 << 9, 1 << 14
 #: Rows sampled for a range of ids.
 SAMPLED = 64
 #: Bytes of text walked over at a time, and rows turned into Python objects at a time.
@@ -223,17 +223,24 @@ def prints(docs: DataFrame) -> DataFrame:
     """doc_id, h, node and print (bytes) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def digest(held: list[pa.RecordBatch], text: list[str]) -> pa.RecordBatch:
+        found = fingerprints(text)
+        ids, hashes = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "h"))
+        return pa.RecordBatch.from_arrays([ids, hashes, pa.array(map(node_of, found), pa.int64()), pa.array([r.tobytes() for r in found], pa.binary())], names=["doc_id", "h", "node", "print"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            text = [t or "" for t in b.column("text").to_pylist()]
-            found, at, size = [], 0, 0
-            for i, t in enumerate(text):
-                size += len(t) + 64
+        held, text, size = [], [], 0  # many walks at a time cost less each
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                held.append(part)
+                text += part.column("text").to_pylist()
+                size += part.column("text").nbytes
                 if size > WORK_BYTES:
-                    found.append(fingerprints(text[at : i + 1]))
-                    at, size = i + 1, 0
-            found = np.concatenate([*found, fingerprints(text[at:])])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(map(node_of, found), pa.int64()), pa.array([r.tobytes() for r in found], pa.binary())], names=["doc_id", "h", "node", "print"])
+                    yield digest(held, text)
+                    held, text, size = [], [], 0
+        if held:
+            yield digest(held, text)
 
     return keyed(docs).mapInArrow(run, f"doc_id {kind}, h long, node long, print binary")
 
