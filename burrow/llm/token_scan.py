@@ -2,9 +2,10 @@
 
 A file is a run of fixed-width token ids in which an end id closes every document. Files are cut into blocks
 wherever they happen to fall; each block is searched for end ids by one vector comparison. What a block can't know, namely how
-many documents and tokens came before it, follows from running sums over the blocks' summaries (a prefix scan).
+many documents and tokens came before it and where the document that is open at its start began, follows from a prefix scan
+over the blocks' summaries (three numbers each, no places): within runs of SPAN blocks, then over the runs' totals.
 
-``blocks_of_files`` reads such files through Spark's readers; ``tokenised`` makes the blocks from texts.
+``blocks_of_files`` reads such files, large ones by ranges; ``tokenised`` makes the blocks from texts.
 
 Edge cases: an empty file has no blocks and gives no rows; two end ids in a row close a document of 0 tokens; tokens
 after the last end id are a document that is not ``closed``; a block may hold no end id at all, and a document may
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, save, small, texts
+from .common import arrow_type, map_batches, partitions, save, small, texts
 from .packing import default_tokenizer
 from .tokens import chunk_ids
 
 #: <|endoftext|> of the default tokenizer, whose ids fit 16 bits.
 END_ID, WIDTH = 49_407, 2
 BLOCK_TOKENS = 1 << 18
+#: Blocks whose summaries one task scans (128 GB of tokens of 512 KB blocks make 256 runs), and the largest file that is read as one value.
+SPAN, WHOLE = 1024, 256 << 20
 
 
 def scan_block(data: bytes, width: int, end: int) -> tuple[int, np.ndarray]:
@@ -50,30 +53,78 @@ def document_lengths(blocks: DataFrame, end: int = END_ID, width: int = WIDTH) -
             k, at = scan_block(data or b"", width, end)
             n.append(k)
             ends.append(at)
-        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
+        count, last = [len(e) for e in ends], [int(e[-1]) + 1 if len(e) else None for e in ends]
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), *(pa.array(x, pa.int64()) for x in (n, count, last)), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", "n", "k", "last", "ends"])
 
-    found = map_batches(blocks.select("file", F.col("block").cast("long").alias("block"), "data"), run, f"file {kind}, block long, n long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = map_batches(blocks.select("file", F.col("block").cast("long").alias("block"), "data"), run, f"file {kind}, block long, n long, k long, last long, ends array<long>")
+    found = save(found, "ends")
     zero = F.lit(0).cast("long")
-    found = found.withColumn("start", F.coalesce(F.sum("n").over(before), zero)).withColumn("documents", F.coalesce(F.sum(F.size("ends")).over(before), zero))
-    # where the document that is open at the block's start began
-    last = F.when(F.size("ends") > 0, F.col("start") + F.element_at("ends", -1) + 1)
-    found = found.withColumn("last", last).withColumn("open", F.coalesce(F.max("last").over(before), zero))
-    ends = F.transform("ends", lambda e: e + F.col("start"))
-    begins = F.concat(F.array("open"), F.transform("ends", lambda e: e + F.col("start") + 1))
-    spans = F.transform(ends, lambda e, i: F.struct((F.col("documents") + i).alias("document"), (e - F.element_at(begins, i + 1)).alias("n_tokens")))
-    closed = found.select("file", F.explode(spans).alias("d")).select("file", "d.document", "d.n_tokens", F.lit(True).alias("closed"))
-    whole = found.groupBy("file").agg(F.sum("n").alias("n"), F.sum(F.size("ends")).cast("long").alias("document"), F.coalesce(F.max("last"), zero).alias("open"))
+
+    def scanned(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        """``rows`` (n, k, last) with start, documents and open: what comes before each of them within ``by``."""
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("start", F.coalesce(F.sum("n").over(before), zero)).withColumn("documents", F.coalesce(F.sum("k").over(before), zero))
+        return rows.withColumn("open", F.max(F.col("start") + F.col("last")).over(before))
+
+    heads = found.select("file", "block", F.floor(F.col("block") / SPAN).alias("run"), "n", "k", "last")
+    inner = scanned(heads, ["file", "run"], "block")
+    runs = inner.groupBy("file", "run").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.col("start") + F.col("last")).alias("last"))
+    runs = save(runs, "runs")
+    outer = scanned(runs, ["file"], "run").select("file", "run", F.col("start").alias("_start"), F.col("documents").alias("_documents"), F.col("open").alias("_open"))
+    known = inner.join(outer, ["file", "run"]).where("k > 0").select(
+        "file",
+        "block",
+        (F.col("start") + F.col("_start")).alias("start"),
+        (F.col("documents") + F.col("_documents")).alias("documents"),
+        F.coalesce(F.col("_start") + F.col("open"), "_open", zero).alias("open"),
+    )
+    # the places of the ends stay with their block and take its three numbers
+    spans = found.where("k > 0").select("file", "block", "ends").join(known, ["file", "block"])
+    begins = F.concat(F.array(F.col("open") - F.col("start")), F.transform("ends", lambda e: e + 1))
+    each = F.transform("ends", lambda e, i: F.struct((F.col("documents") + i).alias("document"), (e - F.element_at(begins, i + 1)).alias("n_tokens")))
+    closed = spans.select("file", F.explode(each).alias("d")).select("file", "d.document", "d.n_tokens", F.lit(True).alias("closed"))
+    whole = scanned(runs, ["file"], "run").groupBy("file").agg(F.sum("n").alias("n"), F.sum("k").alias("document"), F.coalesce(F.max(F.col("start") + F.col("last")), zero).alias("open"))
     rest = whole.where("n > open").select("file", "document", (F.col("n") - F.col("open")).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionByName(rest)
 
 
-def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block and data of binary token files (each below Spark's limit of 2 GB for a value)."""
+def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, tokens: int = BLOCK_TOKENS, whole: int = WHOLE) -> DataFrame:
+    """file, block and data of binary token files.
+
+    Files of more than ``whole`` bytes are read by ranges, each a task's, through pyarrow's file systems (local, HDFS, S3, GCS); Spark's
+    reader, which makes one value of a file, reads the others from any store.
+    """
     size = tokens * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size).cast("long"))).alias("block")
-    return files.where("length > 0").select("file", "content", at).select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    schema = "file string, block long, data binary"
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column(1)[i].as_buffer()
+                for k in range(0, data.size, size):
+                    yield block(b.column(0)[i].as_py(), k // size, data[k : k + size].to_pybytes())
+
+    def block(file: str, at: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for file, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, at = fs.FileSystem.from_uri("file://" + file[5:] if file.startswith("file:/") and not file.startswith("file://") else file)
+                with store.open_input_file(at) as f:
+                    for k in range(first, last):
+                        yield block(file, k, f.read_at(min(size, f.size() - k * size), k * size))
+
+    small_ones = files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content").mapInArrow(cut, schema)
+    per = max(1, whole // size)
+    count = F.ceil(F.col("length") / size)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(per).cast("long"))).alias("first")
+    parts = files.where(F.col("length") > whole).select(F.col("path").alias("file"), count.alias("count"), first)
+    parts = parts.select("file", "first", F.least(F.col("first") + per, "count").alias("last")).repartition(partitions(spark), "file", "first")
+    return small_ones.unionByName(parts.mapInArrow(fetch, schema))
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END_ID, tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -82,29 +133,27 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END_ID, tokens: int =
     The blocks are cut after ``tokens`` tokens each, regardless of documents.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    close = np.array([end], "<u2").tobytes()
+    close, id_type = np.array([end], "<u2").tobytes(), arrow_type(docs, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, cache = TaskContext.get().partitionId(), chunk_ids(tokenizer, plain=True)
         names = ["file", "block", "data", "first", "ids"]
         n, done, left = 0, 0, bytearray()
 
-        def out(block, data, first, ids, id_type) -> pa.RecordBatch:
+        def out(block, data, first, ids) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(id_type))], names=names)
 
-        id_type = pa.int64()
         for b in small(batches):
-            id_type = b.schema.field("doc_id").type
             for t in texts(b):
                 left += np.frombuffer(cache.of(t), "<u4").astype("<u2").tobytes() + close
                 while len(left) >= 2 * tokens:
-                    yield out(n, bytes(left[: 2 * tokens]), None, None, id_type)
+                    yield out(n, bytes(left[: 2 * tokens]), None, None)
                     del left[: 2 * tokens]
                     n += 1
-            yield out(None, None, done, b.column("doc_id").to_pylist(), id_type)
+            yield out(None, None, done, b.column("doc_id").to_pylist())
             done += b.num_rows
         if left:
-            yield out(n, bytes(left), None, None, id_type)
+            yield out(n, bytes(left), None, None)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"file long, block long, data binary, first long, ids array<{kind}>")
 
