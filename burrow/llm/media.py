@@ -1,8 +1,9 @@
 """Motion-JPEG in AVI: RIFF index, intra frames, shots.
 
 Reading: the RIFF tree is walked to ``hdrl`` and ``idx1``; every frame that the index names is a baseline JPEG of its
-own, whose coefficients are entropy-decoded and turned into luma samples. Shots begin where the difference of
-neighbouring frames' histograms stands out from the differences just before it. ``clips`` yields timed rows.
+own, whose coefficients are entropy-decoded and turned into luma samples. Further segments of an OpenDML file (AVIX), which that
+index doesn't know, are walked chunk by chunk. Shots begin where the difference of neighbouring frames' histograms stands out
+from the last differences that weren't cuts themselves. ``clips`` yields timed rows.
 
 Storing: ``write_avi`` keeps any payload of bytes without loss, as quantised DCT coefficients (JPEG's unit; samples
 would be rounded). A byte is the eight magnitude bits of a coefficient of category 8, for which the Huffman
@@ -20,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ FRAME_BYTES = 64 * BLOCKS
 BINS = 16
 #: A cut: a difference of histograms over MEAN + SPREAD deviations of the last WINDOW differences, and over LEAST.
 WINDOW, SPREAD, LEAST = 8, 3.0, 0.1
-#: Differences that must come before a cut.
-HISTORY = 3
+#: With fewer than HISTORY differences known, a cut is one over START: half of all samples change their range.
+HISTORY, START = 3, 1.0
 
 
 class MediaError(ValueError):
@@ -154,7 +156,10 @@ def read_avi(raw: bytes) -> Avi:
     if raw[:4] != b"RIFF" or raw[8:12] != b"AVI ":
         raise MediaError("not an AVI file")
     found: dict[bytes, tuple[int, int]] = {}
+    more: list[tuple[int, int]] = []
     for name, kind, a, b in tree(data, 0, len(raw)):
+        if kind == b"movi" and kind in found:
+            more.append((a, b))
         found.setdefault(kind or name, (a, b))
     if b"avih" not in found or b"movi" not in found:
         raise MediaError("an AVI file without header or frames")
@@ -167,7 +172,9 @@ def read_avi(raw: bytes) -> Avi:
         base = movi[0] - 4 if rows and rows[0][2] < movi[0] else 0
         frames = [data[base + r[2] + 8 : base + r[2] + 8 + r[3]] for r in rows if r[0][2:] in (b"dc", b"db")]
     else:
-        frames = [data[a:b] for name, _, a, b in tree(data, *movi) if name[2:] in (b"dc", b"db")]
+        more.insert(0, movi)
+    for part in more:
+        frames += [data[a:b] for name, _, a, b in tree(data, *part) if name[2:] in (b"dc", b"db")]
     note = bytes(data[slice(*found[b"ICMT"])]).rstrip(b"\0") if b"ICMT" in found else b""
     return Avi(frames, seconds, int(note[8:]) if note.startswith(b"payload=") else None)
 
@@ -249,6 +256,7 @@ def coefficients(j: Jpeg) -> list[np.ndarray]:
     h, v = (1, 1) if alone else (max(p[1] for p in j.parts), max(p[2] for p in j.parts))
     units = -(-j.width // (8 * h)) * -(-j.height // (8 * v))
     parts, done = intervals(j.scan), 0
+    codes = {k: lookup(tuple(t.items())) for k, t in j.codes.items()}
     for part in parts:
         todo = min(j.every or units, units - done)
         bits, last = Bits(part), [0] * len(j.parts)
@@ -256,10 +264,10 @@ def coefficients(j: Jpeg) -> list[np.ndarray]:
             for i, p in enumerate(j.parts):
                 for _ in range(1 if alone else p[1] * p[2]):
                     block = np.zeros(64, np.int32)
-                    last[i] += bits.value(bits.symbol(j.codes[p[4]]))
+                    last[i] += bits.value(bits.symbol(codes[p[4]]))
                     block[0], k = last[i], 1
                     while k < 64:
-                        s = bits.symbol(j.codes[16 + p[5]])
+                        s = bits.symbol(codes[16 + p[5]])
                         if s == 0:
                             break
                         k += s >> 4
@@ -271,23 +279,46 @@ def coefficients(j: Jpeg) -> list[np.ndarray]:
     return [np.stack(b) for b in out]
 
 
+@lru_cache(64)
+def lookup(table: tuple[tuple[tuple[int, int], int], ...]) -> list[tuple[int, int] | None]:
+    """Of each 16 bits the number of bits of the code that they start with, and its symbol."""
+    out: list[tuple[int, int] | None] = [None] * (1 << 16)
+    for (bits, code), symbol in table:
+        first = code << (16 - bits)
+        out[first : first + (1 << (16 - bits))] = [(bits, symbol)] * (1 << (16 - bits))
+    return out
+
+
 class Bits:
+    """Bits of ``raw``, of which a few bytes at a time are held as a number."""
+
     def __init__(self, raw: bytes):
-        self.n, self.at, self.all = len(raw) * 8, 0, int.from_bytes(raw, "big")
+        self.raw, self.at, self.held, self.word = raw, 0, 0, 0
+
+    def fill(self) -> None:
+        more = self.raw[self.at : self.at + 8]
+        self.at += len(more)
+        self.word = (self.word & ((1 << self.held) - 1)) << (8 * len(more)) | int.from_bytes(more, "big")
+        self.held += 8 * len(more)
 
     def take(self, k: int) -> int:
-        if self.at + k > self.n:
-            raise MediaError("a JPEG frame that ends early")
-        self.at += k
-        return self.all >> (self.n - self.at) & ((1 << k) - 1)
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for bits in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (bits, code) in table:
-                return table[bits, code]
-        raise MediaError("a JPEG frame with an unknown code")
+        if self.held < k:
+            self.fill()
+            if self.held < k:
+                raise MediaError("a JPEG frame that ends early")
+        self.held -= k
+        return self.word >> self.held & ((1 << k) - 1)
+
+    def symbol(self, table: list[tuple[int, int] | None]) -> int:
+        if self.held < 16:
+            self.fill()
+        # beyond the end come ones, which no code consists of
+        ahead = self.word >> (self.held - 16) & 0xFFFF if self.held >= 16 else ((self.word & ((1 << self.held) - 1)) + 1 << (16 - self.held)) - 1
+        found = table[ahead]
+        if found is None or found[0] > self.held:
+            raise MediaError("a JPEG frame with an unknown code" if found is None else "a JPEG frame that ends early")
+        self.held -= found[0]
+        return found[1]
 
     def value(self, size: int) -> int:
         v = self.take(size) if size else 0
@@ -333,16 +364,19 @@ def histograms(blocks: np.ndarray, quant: np.ndarray, per_frame: int) -> np.ndar
 
 
 def shots(hist: np.ndarray) -> list[int]:
-    """First frames of the shots."""
-    diff, out = np.abs(np.diff(hist, axis=0)).sum(1), [0]
-    if len(diff):
-        n = np.arange(len(diff))
-        low = np.maximum(n - WINDOW, 0)
-        one, two = np.r_[0, np.cumsum(diff)], np.r_[0, np.cumsum(diff**2)]
-        k = np.maximum(n - low, 1)
-        mean = (one[n] - one[low]) / k
-        dev = np.sqrt(np.maximum((two[n] - two[low]) / k - mean**2, 0))
-        out += (np.flatnonzero((k >= HISTORY) & (diff > np.maximum(mean + SPREAD * dev, LEAST))) + 1).tolist()
+    """First frames of the shots. Cuts are left out of the differences that the next ones are held against."""
+    out, last, one, two = [0], [], 0.0, 0.0
+    for i, d in enumerate(np.abs(np.diff(hist, axis=0)).sum(1).tolist()):
+        k = len(last)
+        mean = one / k if k else 0.0
+        if d > (max(mean + SPREAD * max(two / k - mean * mean, 0.0) ** 0.5, LEAST) if k >= HISTORY else START):
+            out.append(i + 1)
+            continue
+        last.append(d)
+        one, two = one + d, two + d * d
+        if k == WINDOW:
+            gone = last.pop(0)
+            one, two = one - gone, two - gone * gone
     return out
 
 
@@ -385,8 +419,8 @@ def clips(media: DataFrame, name: str = "name", content: str = "content") -> Dat
         for n, raw in zip(b.column(name).to_pylist(), b.column(content).to_pylist(), strict=True):
             try:
                 avi, hist, cuts, _ = scan_media(bytes(raw or b""))
-                for i, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(hist)], strict=True)):
-                    rows.append((n, i, a, z - a, a * avi.seconds, z * avi.seconds, None))
+                for i, c in enumerate(timed(avi, hist, cuts)):
+                    rows.append((n, i, *c.values(), None))
             except (MediaError, struct.error, KeyError, IndexError, ValueError) as e:
                 rows.append((n, None, None, None, None, None, str(e) or type(e).__name__))
         kinds = [b.schema.field(name).type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
@@ -403,19 +437,26 @@ def feature(hist: np.ndarray, cuts: list[int]) -> str:
     return f"frames={len(hist)};shots={len(cuts)};luma={mean};cuts={zlib.crc32(np.array(cuts, '<u4').tobytes()):08x}"
 
 
+CLIPS = pa.list_(pa.struct([("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def timed(avi: Avi, hist: np.ndarray, cuts: list[int]) -> list[dict]:
+    return [{"first_frame": a, "frames": z - a, "start_s": a * avi.seconds, "end_s": z * avi.seconds} for a, z in zip(cuts, [*cuts[1:], len(hist)], strict=True)]
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """Every text as an AVI file and what reading it back shows."""
+    """Every text as an AVI file and what reading it back shows, its timed clips (one for each shot) among it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch):
-        cols: list[list] = [[] for _ in range(9)]
+        cols: list[list] = [[] for _ in range(10)]
         for t in texts(b):
             raw = write_avi(t + bytes(-len(t) % 64 or (0 if t else 64)))
-            _, hist, cuts, back = scan_media(raw)
-            row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(hist, cuts), len(hist), len(cuts))
+            avi, hist, cuts, back = scan_media(raw)
+            row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(hist, cuts), len(hist), len(cuts), timed(avi, hist, cuts))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), CLIPS]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots", "clips"])
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long, clips array<struct<first_frame: long, frames: long, start_s: double, end_s: double>>")
