@@ -1,6 +1,6 @@
 """Language ID: word first, then ever shorter character n-grams.
 
-Learning counts the words of each language's texts and the character n-grams of those words. A known word gets
+Learning counts the words of each language's texts and the character n-grams of those words, all of them. A known word gets
 its log frequency in each language (add-``ALPHA`` where a language lacks it). An unseen word falls back to its n-grams,
 the longest length of which at least half are known: the mean log frequency of those n-grams. A text's
 score of a language is the sum over its words; the posterior over languages, cooled for long texts, is its score.
@@ -19,19 +19,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_batches, small, texts
+from .common import map_batches, modest, small, texts
 
-#: Documents of each language to learn from (about as many, chosen by a hash), and entries kept of each kind and language.
-SAMPLE, WORDS, GRAMS = 2500, 30_000, 12_000
+#: Documents of each language to learn from, and bytes of their texts (about as many, chosen by a hash): whichever comes first.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 LONGEST_GRAM, ALPHA = 5, 0.5
 #: Words at most that count as independent evidence.
 EVIDENCE = 12
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Chunks and words within them that one worker remembers, and the longest word it learns.
+#: Chunks and words within them that one worker remembers, and the longest that it does.
 KEPT, KEPT_WORDS, LONGEST = 250_000, 250_000, 120
 
 
@@ -51,10 +51,9 @@ def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = Counter() if n else words
             if n:
                 for w, k in words.items():
-                    if len(w) <= LONGEST:
-                        for g in grams(w, n):
-                            c[g] += k
-            entries = [e for e in c if len(e) <= LONGEST]
+                    for g in grams(w, n):
+                        c[g] += k
+            entries = list(c)
             for k in range(0, len(entries), 50_000):
                 part = entries[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array([c[e] for e in part], pa.int64())], names=["lang", "n", "entry", "k"])
@@ -63,19 +62,21 @@ def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies by kind: entry -> one number per language (plain numbers: rows are too short for vectors to pay)."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
+    def __init__(self, found: pa.Table):
+        """``found``: lang, n (0: words), entry and k."""
         self.key = uuid.uuid4().hex
-        self.langs = sorted({r[0] for r in rows})
-        col = {x: i for i, x in enumerate(self.langs)}
+        self.langs = sorted(pc.unique(found["lang"]).to_pylist())
+        same: dict[tuple[float, ...], tuple[float, ...]] = {}  # most rare entries have the same few counts
         self.kinds: list[dict[str, tuple[float, ...]]] = []
         for n in range(LONGEST_GRAM + 1):
-            k: dict[str, np.ndarray] = {}
-            for lang, m, entry, c in rows:
-                if m == n:
-                    k.setdefault(entry, np.zeros(len(self.langs)))[col[lang]] += c
-            base = np.array([totals.get((x, n), 0) for x in self.langs], float) + ALPHA * (len(k) + 1)
-            logs = np.log((np.array(list(k.values())).reshape(-1, len(self.langs)) + ALPHA) / base).tolist()
-            self.kinds.append(dict(zip(k, map(tuple, logs), strict=True)))
+            part = found.filter(pc.equal(found["n"], n)).combine_chunks()
+            coded = pc.dictionary_encode(part["entry"].combine_chunks())
+            at, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            col = pc.index_in(part["lang"], pa.array(self.langs, pa.string())).to_numpy(zero_copy_only=False)
+            k = np.zeros((len(names), len(self.langs)))
+            np.add.at(k, (at, col), part["k"].to_numpy())
+            logs = np.log((k + ALPHA) / (k.sum(0) + ALPHA * (len(names) + 1)))
+            self.kinds.append({e: same.setdefault(t, t) for e, t in zip(names, map(tuple, logs.tolist()), strict=True)})
 
     def word(self, w: str) -> tuple[float, ...] | None:
         found = self.kinds[0].get(w)
@@ -147,20 +148,18 @@ class ChunkScores(dict):
 
 
 def learn(docs: DataFrame, usable: Column | None = None) -> Model | None:
-    """From about SAMPLE documents of each language, chosen by a hash of doc_id."""
+    """From about SAMPLE documents, or SAMPLE_BYTES of text, of each language, chosen by a hash of doc_id."""
+    modest(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if usable is not None:
         rows = rows.where(usable)
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r["lang"]: min(1.0, SAMPLE / r["n"], SAMPLE_BYTES / max(1, r["size"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if not have:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, SAMPLE / n))])
+    share = F.create_map(*[F.lit(x) for item in have.items() for x in item])
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    found = some.select("text", "lang").mapInArrow(counts, "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k"))
-    by = Window.partitionBy("lang", "n")
-    found = found.withColumn("total", F.sum("k").over(by)).withColumn("at", F.row_number().over(by.orderBy(F.desc("k"), "entry")))
-    top = found.where(F.col("at") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "entry", "k", "total").collect()
-    return Model([(r["lang"], r["n"], r["entry"], r["k"]) for r in top], {(r["lang"], r["n"]): r["total"] for r in top}) if top else None
+    found = some.select("text", "lang").mapInArrow(counts, "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k")).toArrow()
+    return Model(found) if found.num_rows else None
 
 
 _made: dict[str, ChunkScores] = {}
