@@ -9,8 +9,8 @@ candidate's character class are united. Candidates on the allow list give no ent
 Positions are code points, ends exclusive. Matches alone have no positions in Spark's functions: they come from the
 lengths of the matches and of the pieces that a split at the same pattern leaves between them.
 
-Edge cases: a null text counts as empty, and has no spans. Repeated rows are scanned one by one. Texts of any length and
-any number of matches take time in proportion. Extra columns are neither read nor returned.
+Edge cases: a null text counts as empty, and has no spans. Repeated rows are scanned one by one. Texts of any length take
+time in proportion, and so do matches up to some million in one text (their running sums are added up in two levels). Extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -70,6 +70,7 @@ def entropy_windows(s: Column) -> Column:
         F.lit(0).alias("i"),
         F.array().cast("array<int>").alias("last"),
         F.array().cast("array<struct<a:int,b:int>>").alias("hits"),
+        F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b")).alias("open"),  # the last hit, which may still grow
     )
 
     def xlog(n: Column) -> Column:
@@ -93,16 +94,18 @@ def entropy_windows(s: Column) -> Column:
         # a transform over one element names a value that is used more than once
         now = F.element_at(F.transform(F.array(F.element_at(F.transform(F.array(out), with_out), 1)), with_in), 1)
         queue = F.concat(F.slice(acc["last"], F.size(out) + 1, F.lit(WINDOW)), F.array(code))
-        return F.element_at(F.transform(F.array(now), lambda v: F.struct(v["n"].alias("n"), v["sum"].alias("sum"), (acc["i"] + 1).alias("i"), queue.alias("last"), hits(acc, v).alias("hits"))), 1)
+        return F.element_at(F.transform(F.array(now), lambda v: F.struct(v["n"].alias("n"), v["sum"].alias("sum"), (acc["i"] + 1).alias("i"), queue.alias("last"), *hits(acc, v))), 1)
 
-    def hits(acc: Column, v: Column) -> Column:
-        end = acc["i"] + 1
-        this, old = F.struct((end - WINDOW).alias("a"), end.alias("b")), F.try_element_at(acc["hits"], F.lit(-1))
+    def hits(acc: Column, v: Column) -> list[Column]:
+        """The hits that are done with, which are copied only when there is one more, and the last one."""
+        end, old = acc["i"] + 1, acc["open"]
         high = (end >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - v["sum"] / WINDOW >= least)
-        joined = F.concat(F.slice(acc["hits"], F.lit(1), F.size(acc["hits"]) - 1), F.array(F.struct(old["a"].alias("a"), end.alias("b"))))
-        return F.when(~high, acc["hits"]).when(F.coalesce(old["b"] >= end - WINDOW, F.lit(False)), joined).otherwise(F.concat(acc["hits"], F.array(this)))
+        joins = (old["b"] >= 0) & (old["b"] >= end - WINDOW)
+        done = F.when(high & ~joins & (old["b"] >= 0), F.concat(acc["hits"], F.array(old))).otherwise(acc["hits"])
+        now = F.when(high, F.struct(F.when(joins, old["a"]).otherwise(end - WINDOW).alias("a"), end.alias("b"))).otherwise(old)
+        return [done.alias("hits"), now.alias("open")]
 
-    return F.aggregate(codes, start, step, lambda acc: acc["hits"])
+    return F.aggregate(codes, start, step, lambda acc: F.when(acc["open"]["b"] >= 0, F.concat(acc["hits"], F.array(acc["open"]))).otherwise(acc["hits"]))
 
 
 def find(df: DataFrame, kind: str, pattern: str, maybe: Column) -> DataFrame:
