@@ -692,7 +692,9 @@ def test_near_join_chains(spark, make):
     assert got == {k: k - k % 10 for k, _ in rows}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [graph.MANY, 8])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(graph, "MANY", many)
     r = random.Random(2)
     edges = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
     got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
