@@ -1,7 +1,10 @@
-"""The expander as a table function of Spark SQL: ``SELECT … FROM roots r, LATERAL expand_container(r.content, r.name) e``.
+"""The expander as table functions of Spark SQL.
 
-Arguments and rows travel as Arrow; a root's entries leave in batches of bounded size. The rows have all columns of entries
-(but for the root's own name, which the caller has), metadata as a whole.
+``SELECT … FROM expand_containers(TABLE(SELECT name, content FROM roots))`` takes a whole table: arguments and rows travel as
+Arrow, in batches of bounded size, and the rows are those of ``entries``.
+
+``SELECT … FROM roots r, LATERAL expand_container(r.content, r.name) e`` goes on from each row of a query; Spark gives lateral functions their
+arguments, and takes their rows, one by one. The rows are those of ``entries`` without the root's name.
 """
 
 from __future__ import annotations
@@ -10,23 +13,36 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from ..plans.expand import SCHEMA, Options, Walk, batches
 from ..schema import ENTRIES, MAX_DEPTH
 
-COLUMNS = [n for n in SCHEMA.names if n in ("path", "container_path", "depth", "ordinal", "container_format", "size", "data", "metadata")]
+COLUMNS = [n for n in SCHEMA.names if n in ("root_path", "path", "container_path", "depth", "ordinal", "container_format", "size", "data", "metadata")]
+
+
+class ExpandContainers:
+    """Of a table with the columns name and content (and no others that matter)."""
+
+    def eval(self, roots: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        walk, names, contents = Walk(Options(entry_type="all")), roots.column("name"), roots.column("content")
+
+        def events():
+            for i in range(roots.num_rows):
+                root = names[i].as_py() or ""
+                yield from ((root, e) for e in walk.root(root, contents[i].as_py()) if e.kind == "entry")
+
+        for b in batches(events(), True):
+            yield b.select(COLUMNS)
 
 
 class ExpandContainer:
-    def eval(self, content: pa.Array, name: pa.Array, max_depth: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
-        for i in range(len(name)):
-            depth = max_depth[i].as_py() if max_depth is not None else None
-            walk = Walk(Options(max_depth=MAX_DEPTH if depth is None else depth, entry_type="all"))
-            root = name[i].as_py() or ""
-            for b in batches(((root, e) for e in walk.root(root, content[i].as_py()) if e.kind == "entry"), True):
-                yield b.select(COLUMNS)
+    def eval(self, content: bytes, name: str, max_depth: int = MAX_DEPTH) -> Iterator[tuple]:
+        for e in Walk(Options(max_depth=max_depth, entry_type="all")).root(name or "", bytes(content) if content is not None else None):
+            if e.kind == "entry":
+                yield e.path, e.container_path, e.depth, e.ordinal, e.format, len(e.data), e.data, tuple(e.meta) if e.meta is not None else None
 
 
-def register(spark: SparkSession, name: str = "expand_container") -> None:
-    spark.udtf.register(name, arrow_udtf(ExpandContainer, returnType=ENTRIES.partition(", ")[2]))
+def register(spark: SparkSession, name: str = "expand_container", table: str = "expand_containers") -> None:
+    spark.udtf.register(name, udtf(ExpandContainer, returnType=ENTRIES.partition(", ")[2]))
+    spark.udtf.register(table, arrow_udtf(ExpandContainers, returnType=ENTRIES))

@@ -386,6 +386,17 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT r.name AS root, e.path, e.size, sha2(e.data, 256) AS sha256 FROM burrow_roots r, LATERAL expand_container(r.content, r.name) e WHERE e.container_format IS NULL")
 
 
+@query(f"SELECT doc_id || '.zip' AS root, doc_id || '.zip' || {MEMBER} AS path, {SIZED.format('line')}, 'deflate' AS method FROM ({LINE})")
+def sql_table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function that takes a whole table, by Arrow."""
+    from burrow.sources import udtf
+
+    udtf.register(spark)
+    packed(docs(spark, sf_dir), lambda r: (f"{r['doc_id']}.zip", W.zip_(lines(r)))).createOrReplaceTempView("burrow_table")
+    found = "SELECT root_path AS root, path, size, sha2(data, 256) AS sha256, metadata.compression_method AS method FROM expand_containers(TABLE(SELECT name, content FROM burrow_table))"
+    return spark.sql(f"{found} WHERE container_format IS NULL")
+
+
 # scalars ---------------------------------------------------------------------------------------------------------------
 
 

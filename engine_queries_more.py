@@ -476,7 +476,7 @@ def sorted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT doc_id || '.zip' AS root_path, CAST(NULL AS VARCHAR) AS failure, CAST(doc_id % 8 AS INT) AS warnings,
   array_to_string([CASE WHEN k <= 5 THEN '[NestedContainerOpenFailed] ' || doc_id || '.zip/b' || k || '.zip: Invalid format: ZIP: File is not a zip file' ELSE '… and ' || (doc_id % 8 - 5) || ' more' END FOR k IN range(1, least(doc_id % 8, 6) + 1)], '|') AS first
-FROM ({DOC}) WHERE doc_id % 9 != 0 UNION ALL SELECT doc_id || '.zip', '[RootUnsupportedFormat] ' || doc_id || '.zip: Unsupported format: ' || doc_id || '.zip', 0, '' FROM ({DOC}) WHERE doc_id % 9 = 0"""
+FROM ({DOC}) WHERE doc_id % 9 != 0 UNION ALL SELECT doc_id || '.zip', '[RootUnsupportedFormat] ' || doc_id || '.zip: Unsupported format: Could not detect container format for: ' || doc_id || '.zip', 0, '' FROM ({DOC}) WHERE doc_id % 9 = 0"""
 )
 def warnings_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pack(r: dict) -> tuple[str, bytes]:
@@ -495,7 +495,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.reports(X.expand(packed(docs(spark, sf_dir), pack), X.Options(entry_type="all", include_data=False))).select(L.report_text().alias("text"))
 
 
-@query(f"SELECT '[' || code || '] ' || doc_id || '.zip' || rest || ': ' || message AS text, code != 'NestedContainerOpenFailed' AS fatal FROM (SELECT doc_id, ['RootUnsupportedFormat', 'NestedContainerOpenFailed', 'RootTraversalFailed', 'RootOpenFailed'][k + 1] AS code, CASE WHEN k = 1 THEN '/b.gz' ELSE '' END AS rest, ['Unsupported format: ' || doc_id || '.zip', 'Decompression error: gzip: the stream ends early', 'Maximum container recursion depth exceeded', 'I/O error: no content'][k + 1] AS message FROM (SELECT doc_id, CAST(doc_id % 2 AS INT) + 2 * CAST(doc_id // 2 % 2 AS INT) AS k FROM ({DOC})))")
+@query(f"SELECT '[' || code || '] ' || doc_id || '.zip' || rest || ': ' || message AS text, code != 'NestedContainerOpenFailed' AS fatal FROM (SELECT doc_id, ['RootUnsupportedFormat', 'NestedContainerOpenFailed', 'RootTraversalFailed', 'RootOpenFailed'][k + 1] AS code, CASE WHEN k = 1 THEN '/b.gz' ELSE '' END AS rest, ['Unsupported format: Could not detect container format for: ' || doc_id || '.zip', 'Decompression error: gzip: the stream ends early', 'Maximum container recursion depth exceeded', 'I/O error: no content'][k + 1] AS message FROM (SELECT doc_id, CAST(doc_id % 2 AS INT) + 2 * CAST(doc_id // 2 % 2 AS INT) AS k FROM ({DOC})))")
 def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class of errors as users see it."""
     rows = docs(spark, sf_dir)
