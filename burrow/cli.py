@@ -7,6 +7,7 @@ import os
 import re
 import sys
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PythonException
 from pyspark.sql import SparkSession
 
@@ -85,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     print(f"burrow: warning: {r['warning']}", file=sys.stderr)
                 if a.verbose and r["written"]:
                     print(r["written"])
-        except PythonException as e:
+        except (PythonException, Py4JJavaError) as e:
             why = re.search(r"OSError: (.*)", str(e))
             print(f"burrow: {why[1] if why else e}", file=sys.stderr)
             return 1

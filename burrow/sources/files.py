@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats.base import Item, Opened
+from ..functions.paths import FORK
 from ..plans.expand import Event, Options, Walk, batches
 from ..schema import EVENTS
 
@@ -91,6 +92,17 @@ def _local(path: str) -> str:
     return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
 
 
+def native_fork(path: str) -> bytes | None:
+    """The resource fork that a file system keeps with a local file, if it keeps such things."""
+    if "://" in path:
+        return None
+    try:
+        with open(f"{_local(path)}/{FORK}", "rb") as f:
+            return f.read() or None
+    except OSError:
+        return None
+
+
 def expand_path(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """The events of a file, a folder, or a path inside an archive; a missing file is a root failure."""
     from ..plans.expand import expand
@@ -105,6 +117,9 @@ def expand_path(spark: SparkSession, path: str, options: Options = Options()) ->
         row = (found.archive, None)
         return spark.createDataFrame([row], "name string, content binary").mapInArrow(_missing(found.archive), EVENTS)
     roots = read_files(spark, found.archive).withColumn("name", F.lit(found.archive))
+    fork = native_fork(found.archive)
+    if fork is not None:
+        roots = roots.withColumn("resource_fork", F.lit(bytearray(fork)))
     return expand(roots, options)
 
 

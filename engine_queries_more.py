@@ -190,6 +190,18 @@ def damaged_adc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("content != ''").select(F.col("name").alias("path"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+@query(f"SELECT doc_id || '.' || kind AS path, CASE kind WHEN 'zip' THEN 'Zip' WHEN 'pak' THEN 'Pak' ELSE 'Wad' END AS format, CAST(CASE kind WHEN 'zip' THEN n WHEN 'pak' THEN n ELSE 3 END AS BIGINT) AS entry_count FROM (SELECT *, ['zip', 'pak', 'wad'][CAST(doc_id % 3 + 1 AS INT)] AS kind FROM ({LINE}) WHERE i = 0)")
+def container_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries containers store, empty ones among them, whatever is inside those."""
+
+    def pack(r: dict) -> tuple[str, bytes]:
+        kind = ("zip", "pak", "wad")[r["doc_id"] % 3]
+        raw = W.wad([("A", b"1"), ("B", b""), ("C", text(r))]) if kind == "wad" else W.zip_(lines(r)) if kind == "zip" else W.pak(lines(r))
+        return f"{r['doc_id']}.{kind}", raw
+
+    return X.container_info(X.expand(packed(docs(spark, sf_dir), pack), X.Options(max_depth=1, include_data=False))).select("path", "format", "entry_count")
+
+
 # forks -----------------------------------------------------------------------------------------------------------------
 
 

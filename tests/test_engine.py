@@ -202,3 +202,92 @@ def test_formats_dimension(spark):
 def test_entry_file_is_a_file(spark, archive):
     f = burrow.open(f"{archive}/a.txt")
     assert isinstance(f, io.BytesIO) and f.path.endswith("/a.txt") and f.read(2) == b"he" and f.seek(0) == 0
+
+
+def test_first_alone(spark):
+    """The walk ends behind a root's first entry: damage further on isn't even seen."""
+    raw = W.zip_([("a.zip", W.zip_([("x", b"1"), ("y", b"2")])), ("b.zip", b"PK\x03\x04\0")])
+    events = X.expand(roots(spark, r=raw, s=W.tar([("t", b"3")])), X.Options(first=True))
+    assert sorted(r["path"] for r in X.entries(events).collect()) == ["r/a.zip/x", "s/t"] and X.diagnostics(events).count() == 0
+    all_ = X.entries(X.expand(roots(spark, r=raw, s=W.tar([("t", b"3")]))))
+    assert sorted(r["path"] for r in L.first_leaf(all_).collect()) == ["r/a.zip/x", "s/t"] and L.first_leaf(all_).columns == all_.columns
+
+
+def test_walk_inside_the_task(spark):
+    df = roots(spark, r=W.xz(W.tar([("a.zip", W.zip_([("x", b"1"), ("y", b"2")])), ("b", b"3")])), bad=b"plain", nil=None)
+    for topdown in (True, False):
+        one = sorted(map(tuple, L.walk_roots(df, topdown=topdown).collect()))
+        two = sorted(map(tuple, L.walk(X.entries(X.expand(df, X.Options(entry_type="all", include_data=False))), topdown).collect()))
+        assert one == two and len(one) == 3
+
+
+def test_extract_many_roots(spark, tmp_path):
+    """Names are unique over the whole run; numbers that names have already are stepped over; what can't be written is a warning."""
+    files = {f"{d}/{k}.tar": W.tar([("x.txt", f"{d}{k}".encode()), *([("x.2.txt", b"own")] if k == 1 else [])]) for d in "ab" for k in range(3)}
+    df = roots(spark, **files, **{"c/9.tar": W.tar([("x.txt/inner", b"folder")])})
+    done = S.extract(X.entries(X.expand(df)), str(tmp_path / "out"), strip=2).collect()
+    found = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir() if p.is_file()}
+    assert len(done) == 9 and sorted(found.values()) == sorted([b"a0", b"a1", b"a2", b"b0", b"b1", b"b2", b"own", b"own"])
+    assert found["x.txt"] == b"a0" and sorted(r["written"] for r in done if r["written"]) == sorted(found)
+    assert [r["path"] for r in done if r["warning"]] == ["c/9.tar/x.txt/inner"]
+    again = S.extract(X.entries(X.expand(df)), str(tmp_path / "out"), strip=2).collect()
+    assert sorted(r["written"] or "" for r in again) == sorted(r["written"] or "" for r in done)
+    assert S.extract(X.entries(X.expand(df)).limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_forks_need_a_system_that_has_them(spark, tmp_path, capsys, monkeypatch):
+    side = W.apple({9: b"TEXTttxt" + b"\0" * 24, 2: W.resource_fork([(b"STR ", 1, None, b"s")])}, double=True)
+    (tmp_path / "z.zip").write_bytes(W.zip_([("a.txt", b"1"), ("._a.txt", side)]))
+    args = ["-xf", str(tmp_path / "z.zip"), "-C", str(tmp_path / "out")]
+    monkeypatch.setattr(S.sys, "platform", "linux")
+    assert cli.main([*args, "--preserve-attributes"], spark) == 0
+    assert "Finder info is only supported on macOS" in capsys.readouterr().err and (tmp_path / "out" / "a.txt").read_bytes() == b"1"
+    assert cli.main([*args, "--preserve-resource-fork"], spark) == 1
+    assert "resource forks are only supported on macOS" in capsys.readouterr().err
+    assert not list((tmp_path / "out").glob("**/rsrc"))
+
+
+def test_fork_beside_a_file(spark, tmp_path, monkeypatch):
+    from burrow.sources import files
+
+    (tmp_path / "plain").write_bytes(b"text")
+    assert files.native_fork(str(tmp_path / "plain")) is None
+    monkeypatch.setattr(files, "native_fork", lambda path: W.resource_fork([(b"STR ", 1, None, b"s")]))
+    got = [r["path"].removeprefix(str(tmp_path)) for r in L.ordered(burrow.Loader(path=str(tmp_path / "plain")).entries()).collect()]
+    assert got == ["/plain/..namedfork/rsrc", "/plain/..namedfork/rsrc/STR /#1"]
+
+
+def test_small_files_share_a_partition(tmp_path, monkeypatch):
+    from burrow.sources import datasource as D
+
+    for i in range(7):
+        (tmp_path / f"{i}.zip").write_bytes(b"x" * 10)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "s.txt").write_bytes(b"y")
+    monkeypatch.setattr(D, "PART_BYTES", 35)
+    parts = [p.paths for p in D.ContainerReader({"path": str(tmp_path)}).partitions()]
+    assert [len(p) for p in parts] == [3, 3, 2] and len(D.listed(f"{tmp_path}/[0-3].zip")) == 4
+    assert [p for p, _ in D.listed(f"file://{tmp_path}/**/s.*")] == [f"file://{tmp_path}/sub/s.txt"]
+    assert D.listed(f"{tmp_path}/3.zip") == [(f"{tmp_path}/3.zip", 10)] and D.listed(f"{tmp_path}/gone") == []
+    monkeypatch.setattr(D, "PART_FILES", 1)
+    assert len(D.ContainerReader({"path": str(tmp_path)}).partitions()) == 8
+
+
+def test_order_of_names():
+    from burrow.sources.files import order_of
+
+    names = ["a", "a/b", "a.b", "a b/c", "ab", "b/a/x", "é", "a/b/c", "日本/1", "a/"]
+    parts = [n.split("/") for n in names]
+    assert sorted(parts, key=order_of) == sorted(parts)
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from burrow import scratch
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    monkeypatch.setattr(scratch, "setting", lambda spark, name: None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Session())

@@ -59,3 +59,27 @@ def test_without_the_llm_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout
     assert out.strip() == f"{len(Q.QUERIES)} []"
+
+
+def test_a_broken_llm_folder_is_an_error(tmp_path):
+    """Only an absent folder is passed over; what can't be imported, or an empty folder left behind, isn't the same."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for f in ("__spark_entry__.py", "engine_queries.py", "engine_queries_more.py", "fixture_writers.py"):
+        shutil.copy(root / f, tmp_path)
+    shutil.copytree(root / "burrow", tmp_path / "burrow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    (tmp_path / "burrow" / "llm" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "corpus_pipeline.py").write_text("run = ORACLE_SQL = None")
+
+    def imported():
+        return subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+
+    assert imported().returncode == 0
+    (tmp_path / "burrow" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "burrow" / "llm" / "queries.py").write_text("import a_module_that_is_not_there")
+    assert "a_module_that_is_not_there" in imported().stderr
