@@ -1,4 +1,4 @@
-"""RAR's Lempel-Ziv coders of the archive versions 2.9 and 5, with their filters.
+"""RAR's coders of the archive versions 2.9 (Lempel-Ziv and prediction) and 5, with their filters.
 
 A decoder goes through an archive's entries in order: in a solid archive each goes on with the history, the last distances
 and (2.9) the codes of the one before. Filters change what an entry gives out, never the history.
@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable
 
 from ..errors import DecompressionError, Unsupported
+from .ppmd import Decoder, Model
 
 MOST_BITS = 15
 
@@ -401,11 +402,17 @@ class Rar29:
         self.programs: list[str] = []
         self.spans: list[int] = []
         self.program = 0
+        self.model: Model | None = None
+        #: Whether the present block is the model's, and whether any of the entry was.
+        self.predicts = self.predicted = False
+        self.mark = 2
 
     def tables(self, s: Stream) -> None:
         s.align()
-        if s.take(1):
-            raise Unsupported("RAR: PPMd blocks")
+        self.predicts = bool(s.take(1))
+        if self.predicts:
+            self.predictor(s)
+            return
         counts = (self.MAIN, self.FAR, self.LOW, self.AGAIN)
         before = self.lengths if s.take(1) and self.lengths else [0] * sum(counts)
         self.lengths = code_lengths(s, sum(counts), before)
@@ -414,6 +421,45 @@ class Rar29:
             self.codes.append(Prefix(self.lengths[at : at + n]))
             at += n
 
+    def predictor(self, s: Stream) -> None:
+        """A block of the model's, which may start anew; ``mark`` is the byte that says something else than itself."""
+        flags = s.take(7)
+        self.codes, self.predicted = self.codes or [], True
+        megabytes = s.take(8) if flags & 0x20 else 0
+        if flags & 0x40:
+            self.mark = s.take(8)
+        coder = Decoder(lambda: s.take(8))
+        if flags & 0x20:
+            order = (flags & 31) + 1
+            order = order if order <= 16 else 16 + 3 * (order - 16)
+            if order == 1:
+                raise DecompressionError("RAR: a PPMd model without contexts")
+            self.model = Model(coder, order, megabytes + 1 << 20)
+        elif self.model is None:
+            raise DecompressionError("RAR: a PPMd block without a model")
+        else:
+            self.model.coder = coder
+
+    def predicted_step(self, s: Stream, filters: list, at: int) -> bool:
+        """One symbol of the model's; whether the entry goes on."""
+        symbol, h = self.model.symbol, self.history
+        v = symbol()
+        what = symbol() if v == self.mark else 1
+        if what == 0:
+            self.tables(s)
+        elif what == 2:
+            return False
+        elif what == 3:
+            filters.append(self.filter(symbol, at))
+        elif what == 4:
+            back = symbol() << 16 | symbol() << 8 | symbol()
+            h.copy(symbol() + 32, back + 2)
+        elif what == 5:
+            h.copy(symbol() + 4, 1)
+        else:
+            h.data.append(v)
+        return True
+
     def distance(self, s: Stream) -> int:
         slot = self.codes[1].read(s)
         first, bits = DISTANCES[slot]
@@ -437,9 +483,16 @@ class Rar29:
         out, start = h.data, len(h.data)
         if not size:
             return b""
+        self.predicted = False
         if self.codes is None:
             self.tables(s)
-        while len(out) - start <= size and s.at < s.end:
+        elif self.predicts:
+            self.predicted, self.model.coder.byte = True, lambda: s.take(8)
+        while len(out) - start <= size and (self.predicts or s.at < s.end):
+            if self.predicts:
+                if len(out) - start == size and s.at >= s.end or not self.predicted_step(s, filters, len(out) - start):
+                    break
+                continue
             v = self.codes[0].read(s)
             if v < 256:
                 out.append(v)
@@ -452,7 +505,7 @@ class Rar29:
                     self.codes = None
                 break
             if v == 257:
-                filters.append(self.filter(s, len(out) - start))
+                filters.append(self.filter(lambda: s.take(8), len(out) - start))
                 continue
             if v == 258:
                 if self.length:
@@ -480,14 +533,14 @@ class Rar29:
         del out[start + size :]
         return bytes(filtered(out[start:], filters))
 
-    def filter(self, s: Stream, at: int) -> tuple[int, int, Callable[[bytearray, int], bytearray]]:
-        flags = s.take(8)
+    def filter(self, byte: Callable[[], int], at: int) -> tuple[int, int, Callable[[bytearray, int], bytearray]]:
+        flags = byte()
         n = (flags & 7) + 1
         if n == 7:
-            n = s.take(8) + 7
+            n = byte() + 7
         elif n == 8:
-            n = s.take(16)
-        b = Stream(bytes(s.take(8) for _ in range(n)))
+            n = byte() << 8 | byte()
+        b = Stream(bytes(byte() for _ in range(n)))
         if flags & 0x80:
             number = program_number(b)
             if number == 0:

@@ -1,7 +1,7 @@
 """RAR 4 and RAR 5 archives: headers of both, stored and compressed entries.
 
-What the coders don't know (PPMd blocks, programs other than the usual filters, versions before 2.9) makes the archive a
-diagnostic, never wrong bytes.
+What the coders don't know (programs other than the usual filters, PPMd models that fill their memory, versions before 2.9) makes
+the archive a diagnostic, never wrong bytes. Checksums are looked at where a model predicted: it isn't known when it would have started anew.
 """
 
 from __future__ import annotations
@@ -69,10 +69,13 @@ def _rar4(d: bytes) -> list[tuple[str, bytes, Meta | None]]:
         if not (folder or flags & 0x04 or flags & 0x01):
             version = d[first - head + 24]
 
-            def unpack(raw: bytes = d[first:at], size: int = size, version: int = version) -> bytes:
+            def unpack(raw: bytes = d[first:at], size: int = size, version: int = version, crc: int = le(d, first - head + 16, 4)) -> bytes:
                 if version not in (0, 29, 36):
                     raise Unsupported(f"version {version}")
-                return decoder.unpack(raw, size, solid)
+                data = decoder.unpack(raw, size, solid)
+                if decoder.predicted and zlib.crc32(data) != crc:
+                    raise DecompressionError("a wrong checksum")
+                return data
 
             rows.append(_entry(name, d[first:at], size, max(0, method - 0x30), unpack))
     return rows

@@ -84,6 +84,13 @@ def rar29_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(packed(docs(spark, sf_dir), pack))
 
 
+@query(doc_query("doc_id || '.rar/' || doc_id || '.txt'", "WHERE text != ''"))
+def rar29_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the prediction model, of several orders."""
+    rows = docs(spark, sf_dir).where("text != ''")
+    return leaves(packed(rows, lambda r: (f"{r['doc_id']}.rar", W.rar29([(f"{r['doc_id']}.txt", text(r), W.ppmd_packed(text(r), 3 + r["doc_id"] % 5, 16))]))))
+
+
 def lha_query(method: str):
     pack = {"lh1": W.lh1, "lh5": W.lh5, "lzs": W.lzs, "lz5": W.lz5}[method]
 

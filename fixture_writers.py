@@ -431,6 +431,61 @@ def rar29_packed(data: bytes, start: int = 0, program: bytes = b"", per_block: i
     return out.bytes()
 
 
+class RangeOut:
+    """The writer's side of the range coder."""
+
+    def __init__(self) -> None:
+        self.low, self.range, self.out = 0, 0xFFFFFFFF, bytearray()
+
+    def narrow(self, low: int, high: int) -> None:
+        self.low = self.low + low * self.range & 0xFFFFFFFF
+        self.range = self.range * (high - low) & 0xFFFFFFFF
+
+    def settle(self) -> None:
+        while True:
+            if (self.low ^ (self.low + self.range & 0xFFFFFFFF)) >= 1 << 24:
+                if self.range >= 1 << 15:
+                    return
+                self.range = -self.low & (1 << 15) - 1
+            self.out.append(self.low >> 24)
+            self.range = self.range << 8 & 0xFFFFFFFF
+            self.low = self.low << 8 & 0xFFFFFFFF
+
+    def finish(self) -> bytes:
+        for _ in range(4):
+            self.out.append(self.low >> 24)
+            self.low = self.low << 8 & 0xFFFFFFFF
+        return bytes(self.out)
+
+
+def ppmd_packed(data: bytes, order: int = 6, megabytes: int = 1) -> bytes:
+    """A block of RAR's model over ``data``; byte 2 is its mark. The model is the reader's own, told which symbol comes next."""
+    from burrow.codecs.ppmd import Model
+
+    class Writer(Model):
+        want = 0
+
+        def place(self, shares, scale: int) -> int:
+            self.coder.range //= scale
+            at = 0
+            for s, n in shares:
+                if s == self.want:
+                    return at
+                at += n
+            return at
+
+    coder = RangeOut()
+    model = Writer(coder, order, megabytes << 20)
+    for c in data:
+        for v in (2, 1) if c == 2 else (c,):
+            model.want = v
+            model.symbol()
+    for v in (2, 2):
+        model.want = v
+        model.symbol()
+    return bytes([0x80 | 0x20 | order - 1, megabytes - 1]) + coder.finish()
+
+
 def vint(n: int) -> bytes:
     out = b""
     while n > 127:
@@ -455,10 +510,12 @@ def rar5(members: list[tuple[str, bytes, bytes]], method: int = 3, solid: bool =
 
 
 def rar29(members: list[tuple[str, bytes, bytes]], solid: bool = False) -> bytes:
+    import zlib
+
     out = b"Rar!\x1a\x07\x00" + struct.pack("<HBHHHI", 0, 0x73, 8 if solid else 0, 13, 0, 0)
     for name, data, packed in members:
         raw = name.encode()
-        out += struct.pack("<HBHHIIBIIBBHI", 0, 0x74, 0x8000, 32 + len(raw), len(packed), len(data), 3, 0, 0, 29, 0x33, len(raw), 0o100644) + raw + packed
+        out += struct.pack("<HBHHIIBIIBBHI", 0, 0x74, 0x8000, 32 + len(raw), len(packed), len(data), 3, zlib.crc32(data), 0, 29, 0x33, len(raw), 0o100644) + raw + packed
     return out + struct.pack("<HBHH", 0, 0x7B, 0, 7)
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import fixture_writers as W
-from burrow.codecs import adc, compactpro, imuse, rar, stuffit
+from burrow.codecs import adc, compactpro, imuse, ppmd, rar, stuffit
 from burrow.codecs.huffman import Bits, Code
 from burrow.codecs.lzh import unpack as unlzh
 from burrow.errors import ContainerError
@@ -354,6 +354,35 @@ def test_rar_archives():
     assert "PPMd" in walk("x.rar", ppm)[0].message
 
 
+@pytest.mark.parametrize("order", [2, 4, 6, 16])
+def test_rar_prediction(order):
+    data = mixed(order, 3000) + b"\2" * 9 + bytes(range(256))
+    packed = W.ppmd_packed(data, order)
+    assert rar.Rar29().unpack(packed, len(data), False) == data and len(packed) < len(data) // 2
+    events = [e for e in walk("x.rar", W.rar29([("a", data, packed)])) if e.kind == "entry"]
+    assert [e.data for e in events] == [data]
+    # a model that isn't the writer's shows by the checksum
+    raw = bytearray(W.rar29([("a", data, packed)]))
+    raw[20 + 16] ^= 1
+    assert "checksum" in walk("x.rar", bytes(raw))[0].message
+
+
+@given(st.binary(max_size=300), st.integers(1, 12))
+@settings(max_examples=30, deadline=None)
+def test_rar_prediction_of_anything(data, times):
+    data = data * times or b"x"
+    assert rar.Rar29().unpack(W.ppmd_packed(data, 5), len(data), False) == data
+
+
+def test_rar_models_that_fill_their_memory(monkeypatch):
+    r = random.Random(1)
+    noise = bytes(r.randrange(256) for _ in range(9000))
+    W.ppmd_packed(noise, 16, 1)
+    monkeypatch.setattr(ppmd, "FULL", 0.05)
+    with pytest.raises(ContainerError, match="memory"):
+        W.ppmd_packed(noise, 16, 1)
+
+
 def test_rar5_filters():
     """Each filter undoes what the writer does by its definition."""
     r = random.Random(3)
