@@ -5,6 +5,16 @@ from __future__ import annotations
 from ..errors import DecompressionError
 
 
+def crc16(data: bytes) -> int:
+    """CRC-16/ARC."""
+    crc = 0
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+    return crc
+
+
 def runs(raw: bytes, size: int) -> bytes:
     """0x90 and a count repeat the byte before; 0x90 0 is itself."""
     out, k = bytearray(), 0

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..codecs import lzh
 from ..codecs import stuffit as codecs
-from ..errors import ContainerError, InvalidFormat, Unsupported
+from ..errors import ContainerError, DecompressionError, InvalidFormat, Unsupported
 from ..functions.paths import FORK, clean_component, mac_roman
 from .base import Context, Item, Meta, Opened, be
 from .mac import is_fork
@@ -16,13 +17,17 @@ def is_stuffit(d: bytes) -> bool:
     return d[:4] == b"SIT!" or d[:7] == b"StuffIt"
 
 
-def unpack(raw: bytes, method: int, size: int) -> bytes:
+def unpack(raw: bytes, method: int, size: int, check: int = 0) -> bytes:
+    """``check``: the checksum of method 5, whose coder no sample of another writer was tried on."""
     if method == 0:
         return raw
-    decode = {1: codecs.runs, 2: codecs.lzw, 3: codecs.tree}.get(method)
+    decode = {1: codecs.runs, 2: codecs.lzw, 3: codecs.tree, 5: lzh.unpack_adaptive}.get(method)
     if decode is None:
         raise Unsupported(f"StuffIt method {METHODS.get(method, method)}")
-    return decode(raw, size)
+    data = decode(raw, size)
+    if method == 5 and codecs.crc16(data) != check:
+        raise DecompressionError("StuffIt: a wrong checksum")
+    return data
 
 
 def meta_of(kind: bytes, creator: bytes, data: int, fork: int) -> Meta | None:
@@ -59,7 +64,7 @@ def open_stuffit(d: bytes, ctx: Context) -> Opened:
         packed_fork, packed = d[at : at + fork_packed], d[at + fork_packed : at + fork_packed + data_packed]
         at += fork_packed + data_packed
         try:
-            fork, data = unpack(packed_fork, h[0] & 0x0F, fork_n), unpack(packed, h[1] & 0x0F, data_n)
+            fork, data = unpack(packed_fork, h[0] & 0x0F, fork_n, be(h, 100, 2)), unpack(packed, h[1] & 0x0F, data_n, be(h, 102, 2))
         except ContainerError:
             continue
         if data or fork:

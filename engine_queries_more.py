@@ -105,14 +105,13 @@ for m in ("lh1", "lh5", "lzs", "lz5"):
     lha_query(m)
 
 
-@query(doc_method("""doc_id || '.sit/é"' || doc_id || '"'""", "['rle', 'lzw', 'huffman'][CAST(doc_id % 3 + 1 AS INT)]", "WHERE text != ''"))
+@query(doc_method("""doc_id || '.sit/é"' || doc_id || '"'""", "['rle', 'lzw', 'huffman', 'lzah'][CAST(doc_id % 4 + 1 AS INT)]", "WHERE text != ''"))
 def stuffit_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, dictionary and tree coders by turns; names in Mac OS Roman, whose curly quotes come out straight."""
+    """Runs, dictionary, tree and adaptive coders by turns; names in Mac OS Roman, whose curly quotes come out straight."""
 
     def pack(r: dict) -> tuple[str, bytes]:
-        k = r["doc_id"] % 3
-        packed_ = (W.rle90, W.lzw, W.huffman_tree)[k](text(r))
-        return f"{r['doc_id']}.sit", W.stuffit([(f"é“{r['doc_id']}”".encode("mac_roman"), text(r), packed_)], k + 1)
+        pack_, method = ((W.rle90, 1), (W.lzw, 2), (W.huffman_tree, 3), (W.lh1, 5))[r["doc_id"] % 4]
+        return f"{r['doc_id']}.sit", W.stuffit([(f"é“{r['doc_id']}”".encode("mac_roman"), text(r), pack_(text(r)))], method)
 
     return compressed(spark, sf_dir, pack)
 

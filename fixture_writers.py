@@ -757,10 +757,24 @@ def stuffit(members: list[tuple[bytes, bytes, bytes]], method: int) -> bytes:
         h[2 : 3 + len(name)] = bytes([len(name)]) + name
         h[66:74] = b"TEXTttxt"
         h[84:100] = struct.pack(">IIII", 0, len(data), 0, len(packed))
+        h[102:104] = struct.pack(">H", crc16_arc(data)) if method == 5 else b"\0\0"
         out += bytes(h) + packed
     return b"SIT!" + struct.pack(">HI4sBBHI", len(members), 22 + len(out), b"rLau", 1, 0, 0, 0) + out
 
 
+def crc16_arc(data: bytes) -> int:
+    """By a table over bytes, low bit first."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ 0xA001 * (b & 1)
+        table.append(b)
+    crc = 0
+    for b in data:
+        crc = crc >> 8 ^ table[(crc ^ b) & 255]
+    return crc
+
+
 def runs81(data: bytes) -> bytes:
     """CompactPro's runs: 0x81 0x82 n; the two escapes themselves as 0x81 0x82 0."""
     out, k = bytearray(), 0

@@ -517,3 +517,42 @@ def test_zip_with_xz():
     assert {e.path: e.data for e in events if e.kind == "entry"} == {"x.zip/a.txt": data} and events[1].meta.compression_method == "compressed"
     raw[60] ^= 255
     assert walk("x.zip", bytes(raw))[0].kind == "diag"
+
+
+@pytest.mark.parametrize(("method", "name"), [(1, "rle"), (2, "lzw"), (3, "huffman"), (5, "lzah")])
+def test_stuffit_coders(method, name):
+    pack = {1: W.rle90, 2: W.lzw, 3: W.huffman_tree, 5: W.lh1}[method]
+    members = [(b"a", mixed(1)), (b"b", b"\x90" * 40 + b"q"), (b"c", b"x")]
+    raw = W.stuffit([(k, v, pack(v)) for k, v in members], method)
+    events = [e for e in walk("x.sit", raw) if e.kind == "entry"]
+    assert {e.path: e.data for e in events} == {f"x.sit/{k.decode()}": v for k, v in members}
+    assert {e.meta.compression_method for e in events} == {name}
+
+
+def test_checksums():
+    assert stuffit.crc16(b"123456789") == W.crc16_arc(b"123456789") == 0xBB3D and mac.crc16(b"123456789") == 0x31C3
+    raw = bytearray(W.stuffit([(b"a", mixed(1), W.lh1(mixed(1)))], 5))
+    raw[22 + 102] ^= 1
+    assert not found("x.sit", bytes(raw))
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 900, 30_000])
+def test_compactpro_coders(size):
+    data = (mixed(2) + b"\x81\x82" * 9 + b"\x81" * 9)[:size]
+    assert compactpro.runs(W.runs81(data), len(data)) == data
+    if data:
+        assert compactpro.lzh(W.lzh_blocks(W.runs81(data)), len(data)) == data
+    assert adc.unpack(W.adc(data), len(data)) == data
+    for levels in range(3):
+        assert imuse.block(levels + 1, W.imuse(W.differences(data[:8192], levels))) == data[:8192]
+
+
+def test_images_of_every_kind():
+    disk = W.hfs(MEMBERS)
+    for name, raw in (("d.dmg", W.udif(disk, 1)), ("d.dmg", W.udif(disk, 0x80000004)), ("d.dmg", W.udif(disk, 0x80000005)), ("d.image", W.diskcopy(disk)), ("d.toast", W.partition_map(disk)), ("d.iso", W.raw_cd(disk))):
+        assert found(name, raw) == {f"{name}/F/{k}": v for k, v in MEMBERS}
+    assert found("d.dsk", W.mfs(MEMBERS)) == {f"d.dsk/{k}": v for k, v in MEMBERS}
+    for packed in (False, True):
+        body, fork = W.ndif(disk, packed)
+        rows = {e.path: e.data for e in Walk(Options()).root("n.img", body, fork) if e.kind == "entry"}
+        assert all(rows[f"n.img/F/{k}"] == v for k, v in MEMBERS)
