@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .common import Bits, arrow_type, key_bits, map_batches, mix64, partitions, save, spread_join
+from .common import Bits, arrow_type, key_bits, lean, map_batches, mix64, partitions, save, spread_join
 
 SLOTS, SEED = 128, 20_017
 #: The walk's random bits repeat after so many steps; characters are folded to so many kinds, the last of which never moves.
@@ -242,7 +242,7 @@ def prints(docs: DataFrame) -> DataFrame:
         if held:
             yield digest(held, text)
 
-    return keyed(docs).mapInArrow(run, f"doc_id {kind}, h long, node long, print binary")
+    return keyed(docs).mapInArrow(lean(run), f"doc_id {kind}, h long, node long, print binary")
 
 
 def full(found: np.ndarray) -> np.ndarray:
@@ -305,7 +305,7 @@ def meetings(printed: DataFrame, bits: int, bands: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    rows = printed.where("node is not null").select("node", "print").mapInArrow(run, "key long, node long, head long")
+    rows = printed.where("node is not null").select("node", "print").mapInArrow(lean(run), "key long, node long, head long")
     before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
     # a head goes with its own key, whose rows have none
     return rows.select("node", F.coalesce("head", before).alias("b")).where("b is not null and node != b").select(F.col("node").alias("a"), "b")
@@ -346,7 +346,7 @@ def near_groups(printed: DataFrame, least: float = LEAST, limit: int = LIMIT) ->
             rows = [i for i, (n, on) in enumerate(zip(node.to_pylist(), bits.of(node).tolist(), strict=True)) if on and n not in seen and not seen.add(n)]
             yield b.take(pa.array(rows, pa.int64()))
 
-    data = printed.where("node is not null").select("node", F.col("print").alias("data")).mapInArrow(chosen, "node long, data binary")
+    data = printed.where("node is not null").select("node", F.col("print").alias("data")).mapInArrow(lean(chosen), "node long, data binary")
     roots = graph.linked(group, data, "u1", near(least), limit, into)
     rooted = save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id", F.col("rows").alias("n")), "print-roots")
     groups = rooted.groupBy("root").agg(F.min("id").alias("near"), F.count("*").alias("n"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
@@ -404,4 +404,4 @@ def fingerprint(docs: DataFrame, least: float = LEAST) -> DataFrame:
         if ids and guest:
             yield digest(ids, own, group)
 
-    return with_next(docs, printed, links).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group {kind}")
+    return with_next(docs, printed, links).mapInArrow(lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group {kind}")

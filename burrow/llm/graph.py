@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, partitions, save
+from .common import drop_saved, lean, partitions, save
 
 #: One of so many items of a large group is in all of its tasks.
 PIVOTS = 8
@@ -112,7 +112,7 @@ def grouped(df: DataFrame, keys: list[str], into: int, kind: str, run, schema: s
         if rows:
             yield run(now, *zip(*rows, strict=True))
 
-    return df.repartition(into, *keys).sortWithinPartitions(*keys, "role", "node").select(*keys, "node", "role", "data").mapInArrow(stream, schema)
+    return df.repartition(into, *keys).sortWithinPartitions(*keys, "role", "node").select(*keys, "node", "role", "data").mapInArrow(lean(stream), schema)
 
 
 def linked(group: DataFrame, data: DataFrame, kind: str, index: Callable[[list[np.ndarray]], Search], limit: int, into: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, modest, small, texts
+from .common import lean, map_batches, modest, small, texts
 
 #: Documents of each language to learn from, and bytes of their texts (about as many, chosen by a hash): whichever comes first.
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, usable: Column | None = None) -> Model | None:
         return None
     share = F.create_map(*[F.lit(x) for item in have.items() for x in item])
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    found = some.select("text", "lang").mapInArrow(counts, "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k")).toArrow()
+    found = some.select("text", "lang").mapInArrow(lean(counts), "lang string, n int, entry string, k long").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k")).toArrow()
     return Model(found) if found.num_rows else None
 
 

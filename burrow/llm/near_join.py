@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph, shingles
-from .common import Bits, arrow_type, key_bits, map_batches, maybe_in, mix64, named, numbered, partitions, save, small, spread_join, texts
+from .common import Bits, arrow_type, key_bits, lean, map_batches, maybe_in, mix64, named, numbered, partitions, save, small, spread_join, texts
 from .graph import components
 
 #: 100 * overlap >= LEAST * union.
@@ -74,7 +74,7 @@ def summed(df: DataFrame) -> np.ndarray:
         for p, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "data"])
 
-    rows = df.select("part", "data", "more").repartition(PARTS, "part").mapInArrow(run, "part int, data binary").collect()
+    rows = df.select("part", "data", "more").repartition(PARTS, "part").mapInArrow(lean(run), "part int, data binary").collect()
     return np.concatenate([np.frombuffer(r[1], "<u8") for r in sorted(rows)]) if rows else np.zeros(0, np.uint64)
 
 
@@ -113,7 +113,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(none, id_type), *(pa.array(none, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=names)
 
     found = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    return found.mapInArrow(run, f"doc_id {kind}, hash long, n long, node long, other long, part int, data binary, more binary")
+    return found.mapInArrow(lean(run), f"doc_id {kind}, hash long, n long, node long, other long, part int, data binary, more binary")
 
 
 def node_of(shingle_set: np.ndarray, twice: frozenset[int]) -> int:
@@ -187,7 +187,7 @@ def postings(docs: DataFrame, rank: np.ndarray, heat: np.ndarray, twice: frozens
         if ids:
             yield flush(node, size, ids)
 
-    return docs.select("text").mapInArrow(run, "part int, nodes binary, sizes binary, ids binary, of binary")
+    return docs.select("text").mapInArrow(lean(run), "part int, nodes binary, sizes binary, ids binary, of binary")
 
 
 def candidates(posted: DataFrame, least: int, into: int) -> DataFrame:
@@ -245,7 +245,7 @@ def candidates(posted: DataFrame, least: int, into: int) -> DataFrame:
             p = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0][p]), pa.array(cols[1][p]), pa.array(cols[2][p], mask=nulls[p]), pa.array(cols[3][p])], names=["a", "b", "shared", "need"])
 
-    return posted.repartitionById(into, F.col("part")).mapInArrow(run, "a long, b long, shared long, need long")
+    return posted.repartitionById(into, F.col("part")).mapInArrow(lean(run), "a long, b long, shared long, need long")
 
 
 class Index:
@@ -324,7 +324,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, twice: frozenset[int], width:
                     data.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "data"])
 
-    return docs.select("text").mapInArrow(run, "node long, data binary")
+    return docs.select("text").mapInArrow(lean(run), "node long, data binary")
 
 
 def node_roots(docs: DataFrame, sizes: DataFrame, count: np.ndarray, twice: frozenset[int], width: int, least: int, limit: int) -> DataFrame:

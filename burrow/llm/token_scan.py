@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_type, map_batches, partitions, save, small, texts
+from .common import arrow_type, lean, map_batches, partitions, save, small, texts
 from .packing import default_tokenizer
 from .tokens import chunk_ids
 
@@ -118,13 +118,13 @@ def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, tokens:
                     for k in range(first, last):
                         yield block(file, k, f.read_at(min(size, f.size() - k * size), k * size))
 
-    small_ones = files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content").mapInArrow(cut, schema)
+    small_ones = files.where(F.col("length") <= whole).select(F.col("path").alias("file"), "content").mapInArrow(lean(cut), schema)
     per = max(1, whole // size)
     count = F.ceil(F.col("length") / size)
     first = F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(per).cast("long"))).alias("first")
     parts = files.where(F.col("length") > whole).select(F.col("path").alias("file"), count.alias("count"), first)
     parts = parts.select("file", "first", F.least(F.col("first") + per, "count").alias("last")).repartition(partitions(spark), "file", "first")
-    return small_ones.unionByName(parts.mapInArrow(fetch, schema))
+    return small_ones.unionByName(parts.mapInArrow(lean(fetch), schema))
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END_ID, tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -155,7 +155,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END_ID, tokens: int =
         if left:
             yield out(n, bytes(left), None, None)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"file long, block long, data binary, first long, ids array<{kind}>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"file long, block long, data binary, first long, ids array<{kind}>")
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -463,3 +463,24 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
 def test_held_out_of_nulls(spark):
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").select(held_out(F.col("id"))).first()[0] is False
+
+
+def test_workers_release_what_they_freed(monkeypatch):
+    """A worker gives memory back when a task ends, whether it went through or not."""
+    from burrow.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and len(calls) == 1
+
+    def fails(batches):
+        yield next(iter(batches))
+        raise ValueError
+
+    found = common.lean(fails)([1])
+    assert next(found) == 1
+    try:
+        next(found)
+    except ValueError:
+        pass
+    assert len(calls) == 2
