@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import mix64, slices
+from .common import kept, mix64, slices
 
 WIDTH, SEED = 5, 90_001
 
@@ -38,7 +38,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 #: Powers are kept for buffers up to this many bytes; longer texts get their own.
 _KEPT = 3 << 19
-_tables: list[np.ndarray] = []
+_tables: list[np.ndarray] = kept([])
 
 
 def tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a lower-casing byte-level tokenizer, by way of a cache of white-space separated chunks.
 
 The tokenizer drops white space and no rule of it looks across white space, so a text's ids are its chunks' ids one
-after the other. Chunks repeat far more often than texts do; each worker keeps the ids of up to ``KEPT`` chunks.
+after the other. Chunks repeat far more often than texts do; each task keeps the ids of up to ``KEPT`` chunks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import re
 import sys
 from array import array
 
-#: Chunks and words within them that one worker remembers (about 150 bytes each), and the longest chunk in bytes that it does.
+from .common import kept
+
+#: Chunks and words within them that one task remembers (about 150 bytes each), and the longest chunk in bytes that it does.
 KEPT, KEPT_WORDS, LONGEST = 250_000, 500_000, 100
 #: A word of Latin-1 letters with marks after it: the tokenizer lower-cases the one and splits off the other.
 WORD, MARKS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), b".,;:!?"
@@ -79,11 +81,11 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.split()))  # bytes.split() knows ASCII white space only
 
 
-_made: dict[tuple[str, bool], ChunkIds] = {}
+_made: dict[tuple[str, bool], ChunkIds] = kept({})
 
 
 def chunk_ids(path: str, plain: bool = False) -> ChunkIds:
-    """One cache for each worker process and tokenizer file. ``plain``: special tokens' strings in a text are ordinary text."""
+    """One cache for each task and tokenizer file: it takes over 100 MB, which a worker that goes on with other work has no room for. ``plain``: special tokens' strings in a text are ordinary text."""
     if (path, plain) not in _made:
         _made[path, plain] = ChunkIds(path, plain)
     return _made[path, plain]

@@ -465,6 +465,20 @@ def test_held_out_of_nulls(spark):
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").select(held_out(F.col("id"))).first()[0] is False
 
 
+def test_workers_keep_no_tables_of_their_last_task():
+    """The token cache and the shingles' tables, over 100 MB, would stay beside whatever the worker does next."""
+    from burrow.llm import packing, shingles, tokens
+
+    def task(batches):
+        for b in batches:
+            ids = tokens.chunk_ids(packing.default_tokenizer()).of(b"two words")
+            assert tokens._made and len(ids) and len(next(shingles.sets([b"two words"]))) == 1 and shingles._tables
+            yield b
+
+    assert len(list(common.lean(task)([1, 2]))) == 2
+    assert not tokens._made and not shingles._tables
+
+
 def test_workers_release_what_they_freed(monkeypatch):
     """A worker gives memory back when a task ends, whether it went through or not."""
     from burrow.llm import common
