@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
+import shutil
 import subprocess
 import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
 from ..functions.paths import FORK, os_type
+from ..plans import expand as X
 from ..schema import BY_VARIANT, MAX_INT
-from ..scratch import delete_at_exit
+from ..scratch import delete_at_exit, drop_path, new_path, path_exists
 
 
 def safe_output(c: str | Column) -> Column:
@@ -282,13 +284,11 @@ def extract(
             for i in range(b.num_rows):
                 where = None
                 if b.column("to")[i].as_py() is not None:
-                    name = hashlib.sha256(repr((b.column("root_path")[i].as_py(), b.column("ordinal")[i].as_py(), b.column("path")[i].as_py())).encode()).hexdigest()
+                    name = uuid.uuid4().hex  # roots may share their names, and a task that starts anew writes files of its own
                     where = os.path.join(stage, "files", name[:2], name)
                     os.makedirs(os.path.dirname(where), exist_ok=True)
-                    part = f"{where}.{uuid.uuid4().hex}"
-                    with open(part, "wb") as f:
+                    with open(where, "wb") as f:
                         f.write(b.column("data")[i].as_py() or b"")
-                    os.replace(part, where)
                 places.append(where)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(places, pa.string())], names=[*kept, "staged"])
 
@@ -334,3 +334,57 @@ def extract(
             yield pa.RecordBatch.from_pylist(out, ARROW[DONE])
 
     return done.unionByName(found.where("fork").mapInArrow(attach, DONE))
+
+
+def extract_rounds(roots: DataFrame, folder: str, read: Callable[[str, bytes], tuple], schema: str, rounds: int) -> DataFrame:
+    """``read(name below folder, bytes on disk)``, one row for each file that ``extract`` writes from ``roots`` (name, content), whose files needn't stay.
+
+    Files take a block each, whatever their length, so all of them at once may take many times the bytes of the roots. Here roots are
+    extracted in so many rounds, and a round's files go once they have been read. Every root is in one round, and those whose names come
+    to the same path are in the same one, so that names are unique over the whole run as ever (a root below another root's folder excepted).
+    """
+    spark, rounds = roots.sparkSession, max(1, rounds)
+    width = 2 * spark.sparkContext.defaultParallelism
+    dealt, rows = new_path(spark, "rounds"), new_path(spark, "extracted")
+    name = safe_output("name")["path"]
+    placed = roots.select("name", "content", F.pmod(F.coalesce(F.xxhash64(name), F.lit(0)), F.lit(rounds)).cast("int").alias("round"))
+    place = F.col("round") * width + F.pmod(F.xxhash64("name", F.lit("salt")), F.lit(width)).cast("int")
+    placed.repartitionById(rounds * width, place).write.partitionBy("round").parquet(dealt)
+
+    def look(at: str):
+        kinds = spark.createDataFrame([], schema).schema
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = []
+                for path in b.column("written").to_pylist():
+                    with open(os.path.join(at, path), "rb") as f:
+                        found.append(read(path, f.read()))
+                columns = zip(*found, strict=True) if found else ((),) * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), to_arrow_type(k.dataType)) for c, k in zip(columns, kinds, strict=True)], names=kinds.names)
+
+        return run
+
+    def clear(at: str):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    shutil.rmtree(os.path.join(at, path), ignore_errors=True)
+                yield b.slice(0, 0)
+
+        return run
+
+    spark.createDataFrame([], schema).write.parquet(rows)
+    for k in range(rounds):
+        at = os.path.join(os.path.abspath(folder), str(k))
+        here = spark.read.schema(roots.select("name", "content").schema).parquet(f"{dealt}/round={k}") if path_exists(spark, f"{dealt}/round={k}") else None
+        if here is None:
+            continue
+        done = extract(X.entries(X.expand(here)), at)
+        done.where("written is not null").select("written").mapInArrow(look(at), schema).write.mode("append").parquet(rows)
+        # tasks remove the files: one after the other they would take the driver as long as it took to write them
+        here.select(name.alias("path")).where("path is not null").distinct().mapInArrow(clear(at), "path string").count()
+        drop_path(spark, f"file://{at}")
+        drop_path(spark, f"{dealt}/round={k}")
+    drop_path(spark, dealt)
+    return spark.read.schema(schema).parquet(rows)

@@ -235,6 +235,32 @@ def test_extract_many_roots(spark, tmp_path):
     assert S.extract(X.entries(X.expand(df)).limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_extract_roots_of_one_name(spark, tmp_path):
+    df = spark.createDataFrame([("r.tar", W.tar([("x", b"1")])), ("r.tar", W.tar([("x", b"2")]))], "name string, content binary")
+    done = S.extract(X.entries(X.expand(df)), str(tmp_path / "out")).collect()
+    assert sorted(r["written"] for r in done) == ["r.tar/x", "r.tar/x.2"]
+    assert sorted((tmp_path / "out" / r["written"]).read_bytes() for r in done) == [b"1", b"2"]
+
+
+def test_extract_in_rounds(spark, tmp_path):
+    """Every file is read once, under a name that is unique over the run, and a round's files are gone before the next one's come."""
+    top = str(tmp_path / "out")
+
+    def read(path, raw):
+        return path, raw, sum(len(names) for at, _, names in os.walk(top) if ".burrow-" not in at)
+
+    rows = [(f"{k % 3}/r{k}.tar", W.tar([(f"d/{i}", f"{k} {i}".encode()) for i in range(5)])) for k in range(40)]
+    rows += [("0/r0.tar", W.tar([("d/1", b"again")])), ("../out.tar", W.tar([("no", b"where")])), ("empty.tar", W.tar([]))]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    found = S.extract_rounds(df, top, read, "path string, raw binary, files int", 8).collect()
+    want = {(f"{k % 3}/r{k}.tar/d/{i}", f"{k} {i}".encode()) for k in range(40) for i in range(5)}
+    got = {(r["path"], bytes(r["raw"])) for r in found}
+    assert len(found) == len(got) == 201 and {r for _, r in got} == {r for _, r in want} | {b"again"}
+    assert want - got <= {("0/r0.tar/d/1", b"0 1")} and {p for p, _ in got} == {p for p, _ in want} | {"0/r0.tar/d/1.2"}
+    assert max(r["files"] for r in found) < 100 and not [f for _, _, f in os.walk(top) if f]
+    assert S.extract_rounds(df.limit(0), top, read, "path string, raw binary, files int", 1).count() == 0
+
+
 def test_forks_need_a_system_that_has_them(spark, tmp_path, capsys, monkeypatch):
     side = W.apple({9: b"TEXTttxt" + b"\0" * 24, 2: W.resource_fork([(b"STR ", 1, None, b"s")])}, double=True)
     (tmp_path / "z.zip").write_bytes(W.zip_([("a.txt", b"1"), ("._a.txt", side)]))
