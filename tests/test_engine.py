@@ -161,6 +161,28 @@ def test_stream(spark, archive, tmp_path):
     assert {r["size"] for r in spark.table("seen").collect()} == {1, 2}
 
 
+def test_stream_lists_by_few_tasks(spark, tmp_path):
+    """A trigger of many files doesn't start a listing task for each of them, and takes no more of them than it was told to."""
+    from burrow.streaming import files
+
+    for k in range(90):
+        (tmp_path / f"{k}.zip").write_bytes(W.zip_([("a", str(k).encode())]))
+    before = spark.conf.get(files._LISTING)
+    try:
+        spark.conf.set(files._LISTING, files._DEFAULT)
+        found = files.read_stream(spark, str(tmp_path), files_per_trigger=40).select("path", "size")
+        seen, tracker = set(), spark.sparkContext.statusTracker()
+        q = found.writeStream.format("memory").queryName("few").trigger(availableNow=True).start()
+        while q.isActive:
+            for stage in tracker.getActiveStageIds():
+                if info := tracker.getStageInfo(stage):
+                    seen.add(info.numTasks)
+        assert spark.table("few").count() == 90 and [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [40, 40, 10]
+        assert max(seen) <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(files._LISTING, before)
+
+
 def test_unique_names():
     taken = {"a.txt", "a.2.txt", "d.x/b"}
     assert S.unique_name("a.txt", taken) == "a.3.txt"
