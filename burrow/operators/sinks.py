@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import shutil
 import subprocess
@@ -18,7 +19,10 @@ from ..functions import columns as C
 from ..functions.paths import FORK, os_type
 from ..plans import expand as X
 from ..schema import BY_VARIANT, MAX_INT
-from ..scratch import delete_at_exit, drop_path, new_path, path_exists
+from ..scratch import delete_at_exit, drop_path, drop_saved, new_path, path_exists, save
+
+
+EMPTY = "path resolves to an empty output name"
 
 
 def safe_output(c: str | Column) -> Column:
@@ -30,7 +34,7 @@ def safe_output(c: str | Column) -> Column:
         F.when(F.startswith(p, F.lit("/")), "absolute paths are not allowed")
         .when(C.has_drive(p), "Windows drive prefixes are not allowed")
         .when(F.array_contains(parts, ".."), "parent path components ('..') are not allowed")
-        .when(F.size(parts) == 0, "path resolves to an empty output name")
+        .when(F.size(parts) == 0, EMPTY)
     )
     return F.struct(F.when(reason.isNull(), joined).alias("path"), reason.alias("reason"))
 
@@ -249,6 +253,15 @@ def piped(rows: DataFrame, command: str) -> DataFrame:
     return rows.select("path", "to", "reason", "data").mapInArrow(run, DONE)
 
 
+def output_rows(entries: DataFrame, virtual: str = "", strip: int = 0) -> DataFrame:
+    """What is written of each entry, and where to; ``fork``: a raw resource fork."""
+    raw_fork = F.col("relative") == FORK
+    raw_fork = raw_fork | F.endswith("relative", F.lit(f"/{FORK}"))
+    named = output_paths(entries, virtual, strip).withColumn("fork", raw_fork)
+    meta = [C.mode_bits("metadata.mode").alias("bits"), "metadata.type_code", "metadata.creator_code"]
+    return named.select("root_path", "ordinal", "path", F.col("target.path").alias("to"), F.col("target.reason").alias("reason"), "data", *meta, "fork", "container_format")
+
+
 def extract(
     entries: DataFrame, folder: str, virtual: str = "", strip: int = 0, permissions: bool = False, command: str | None = None, resource_forks: bool = False, attributes: bool = False
 ) -> DataFrame:
@@ -261,11 +274,7 @@ def extract(
     With ``command`` the bytes go to a shell command instead: only for callers who ask for it. ``resource_forks`` writes raw forks with their files and
     fails where the system has none; without it they are left out (their resources are entries of their own).
     """
-    raw_fork = F.col("relative") == FORK
-    raw_fork = raw_fork | F.endswith("relative", F.lit(f"/{FORK}"))
-    named = output_paths(entries, virtual, strip).withColumn("fork", raw_fork)
-    meta = [C.mode_bits("metadata.mode").alias("bits"), "metadata.type_code", "metadata.creator_code"]
-    rows = named.select("root_path", "ordinal", "path", F.col("target.path").alias("to"), F.col("target.reason").alias("reason"), "data", *meta, "fork", "container_format")
+    rows = output_rows(entries, virtual, strip)
     if command is not None:
         return piped(rows.where("container_format is null"), command)
     if resource_forks:
@@ -336,20 +345,117 @@ def extract(
     return done.unionByName(found.where("fork").mapInArrow(attach, DONE))
 
 
+def root_folder(name: str | Column) -> Column:
+    """Where a root's files go to below the output folder: the empty path if anywhere, null if it has none."""
+    target = safe_output(F.ltrim(F.coalesce(C.col(name), F.lit("")), F.lit("/")))
+    return F.when(target["reason"] == EMPTY, "").otherwise(target["path"])
+
+
+def shared_folders(roots: DataFrame) -> DataFrame:
+    """``home``: folders that several of the roots (name) come to, and those that lie in another root's or hold one. Found from names alone."""
+    homes = roots.select(root_folder("name").alias("home")).where("home is not null").groupBy("home").agg(F.count("*").alias("n"))
+    parts = F.split("home", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    inner = homes.select("home", F.explode(above).alias("top"))
+    outer = homes.join(inner.select(F.col("top").alias("home")).distinct(), "home", "left_semi").select("home")
+    inside = inner.join(outer.select(F.col("home").alias("top")), "top", "left_semi").select("home")
+    return homes.where("n > 1").select("home").union(outer).union(inside).distinct()
+
+
+def extract_alone(roots: DataFrame, folder: str, read: Callable[[str, bytes], tuple], schema: str) -> DataFrame:
+    """``extract_rounds`` for roots (name, content) whose folders nothing else comes to: their names are unique once they are so within their root.
+
+    Each root's files are written where they belong, read back and removed by the task that has its entries, so that there are no
+    more of them on disk than those of a root for each core. A task that starts anew, or twice, has a folder of its own.
+    """
+    found = output_rows(X.entries(X.expand(roots))).where("container_format is null and not fork")
+    rows = found.select("root_path", "to", "data", root_folder("root_path").alias("home"))
+    kinds = roots.sparkSession.createDataFrame([], schema).schema
+    names, types = kinds.names, [to_arrow_type(k.dataType) for k in kinds]
+
+    def put(where: str, data: bytes) -> bool:
+        try:
+            os.makedirs(os.path.dirname(where), exist_ok=True)
+            f = open(where, "wb", 0)  # noqa: SIM115
+        except OSError as e:  # a name that is a file here and a folder there, or too long
+            if e.errno in (errno.ENOSPC, errno.EDQUOT, errno.EMFILE, errno.ENFILE):
+                raise
+            return False
+        with f:
+            view = memoryview(data)
+            while len(view):
+                view = view[f.write(view) :]
+        return True
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = os.path.join(os.path.abspath(folder), uuid.uuid4().hex)
+        now, home, held, taken, tried, got, size = None, None, [], set(), {}, [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=names)
+
+        def back() -> Iterator[pa.RecordBatch]:
+            nonlocal got, size
+            for name in held:
+                with open(os.path.join(at, name), "rb", 0) as f:
+                    raw = f.read()
+                os.unlink(f.name)
+                got.append(read(name, raw))
+                size += len(raw)
+                if len(got) >= X.BATCH_ROWS or size >= X.BATCH_BYTES:
+                    yield batch()
+                    got, size = [], 0
+            if held:
+                shutil.rmtree(os.path.join(at, home), ignore_errors=True)
+
+        try:
+            for b in batches:
+                roots_, to, data, homes = (b.column(c) for c in ("root_path", "to", "data", "home"))
+                for i, (root, path, place) in enumerate(zip(roots_.to_pylist(), to.to_pylist(), homes.to_pylist(), strict=True)):
+                    if root != now:
+                        yield from back()
+                        now, home, held, taken, tried = root, place, [], set(), {}
+                    if path is None:
+                        continue
+                    name = unique_name(path, taken, tried)
+                    taken.add(name)
+                    if put(os.path.join(at, name), data[i].as_py() or b""):
+                        held.append(name)
+            yield from back()
+            if got:
+                yield batch()
+        finally:
+            shutil.rmtree(at, ignore_errors=True)
+
+    return rows.mapInArrow(run, schema)
+
+
 def extract_rounds(roots: DataFrame, folder: str, read: Callable[[str, bytes], tuple], schema: str, rounds: int) -> DataFrame:
     """``read(name below folder, bytes on disk)``, one row for each file that ``extract`` writes from ``roots`` (name, content), whose files needn't stay.
 
-    Files take a block each, whatever their length, so all of them at once may take many times the bytes of the roots. Here roots are
-    extracted in so many rounds, and a round's files go once they have been read. Every root is in one round, and those whose names come
-    to the same path are in the same one, so that names are unique over the whole run as ever (a root below another root's folder excepted).
+    Files take a block each, whatever their length, so all of them at once may take many times the bytes of the roots. Roots with a folder of
+    their own come and go one by one (``extract_alone``). Those that share folders are extracted in so many rounds, and a round's files go
+    once they have been read. Every root is in one round, and those whose names come to the same path are in the same one, so that names
+    are unique over the whole run as ever (a root below another root's folder excepted).
     """
     spark, rounds = roots.sparkSession, max(1, rounds)
     width = 2 * spark.sparkContext.defaultParallelism
     dealt, rows = new_path(spark, "rounds"), new_path(spark, "extracted")
+    every = save(roots.select("name", "content"), "roots")
+    shared = save(shared_folders(every), "shared")
+    some = bool(shared.take(1))
+    homed = every.withColumn("home", root_folder("name"))
+    alone = homed.join(shared, "home", "left_anti").select("name", "content") if some else every
+    extract_alone(alone, folder, read, schema).write.parquet(rows)
+    if not some:
+        drop_saved(every)
+        return spark.read.schema(schema).parquet(rows)
+    roots = homed.join(shared, "home", "left_semi").select("name", "content")
     name = safe_output("name")["path"]
     placed = roots.select("name", "content", F.pmod(F.coalesce(F.xxhash64(name), F.lit(0)), F.lit(rounds)).cast("int").alias("round"))
     place = F.col("round") * width + F.pmod(F.xxhash64("name", F.lit("salt")), F.lit(width)).cast("int")
     placed.repartitionById(rounds * width, place).write.partitionBy("round").parquet(dealt)
+    drop_saved(every)
 
     def look(at: str):
         kinds = spark.createDataFrame([], schema).schema
@@ -374,7 +480,6 @@ def extract_rounds(roots: DataFrame, folder: str, read: Callable[[str, bytes], t
 
         return run
 
-    spark.createDataFrame([], schema).write.parquet(rows)
     for k in range(rounds):
         at = os.path.join(os.path.abspath(folder), str(k))
         here = spark.read.schema(roots.select("name", "content").schema).parquet(f"{dealt}/round={k}") if path_exists(spark, f"{dealt}/round={k}") else None
